@@ -1,17 +1,20 @@
-"""Toxicity: class-conditional Kneser-Ney models of letters.
+"""Toxicity: class-conditional Kneser-Ney models of words and letters.
 
 Two models, of toxic and of ordinary documents, give each word the difference of
-its log-likelihoods. Both are interpolated Kneser-Ney models of five letters within
-words; they share the counts of the two lowest orders, so a rare expression that
-only one class has seen falls back on the same ground in the other. A document's
-score comes from its length-normalised differences, over the whole text and over
-its most toxic passages of a few words, through a logistic curve.
+its log-likelihoods: once as letters, by interpolated Kneser-Ney models of five
+letters within words, and once as a whole, by discounted word counts that fall
+back on the letters. The two classes share the counts of the two lowest orders, so
+a rare expression that only one class has seen falls back on the same ground in
+the other. A document's score comes from its length-normalised differences, over
+the whole text and over its most toxic passages of a few words, through a logistic
+curve.
 
 The counts cover every labelled training document. They are summed in Spark by
-five-letter code; codes have 25 bits, so what is collected and the table that is
-broadcast (64 MB, one half-precision number a code) have a size that does not depend
-on the input. The curve is fitted on at most ``max_curve`` labelled training
-documents, which a first model did not count.
+five-letter code, of 25 bits, and for words by the cells of a count-min sketch, so
+what is collected and what is broadcast (64 MB for the letters, one half-precision
+number a code, and 8 MB for the words) have a size that does not depend on the
+input. The curve is fitted on about ``max_curve`` labelled training documents, which a
+first model did not count.
 
 Only the text is an input of a score. Training labels are taken from rows that are
 not held out; a document of several labels counts once for each. Null texts are
@@ -27,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from quern.llm.common import documents, held_out, replacing
 from quern.llm.words import with_columns
@@ -37,9 +41,14 @@ from quern.llm.words import with_columns
 BITS, ORDER, DISCOUNT = 5, 5, 0.75
 LETTERS = 1 << BITS
 CODES = 1 << (BITS * ORDER)
-THRESHOLD = 0.7
 #: Words in a passage.
 PASSAGES = (1, 4, 24)
+#: Rows and columns of the sketch of word counts. Its cells are numbered after the codes.
+ROWS, CELLS = 2, 1 << 19
+THRESHOLD = 0.7
+#: Nats a letter that the letters of a word take, about.
+LETTER_RATE = 2.2
+FEATURES = 2 * (len(PASSAGES) + 1) + 1
 #: Rows of labels up to which they are broadcast: 16 bytes each.
 MOST_BROADCAST = 2_000_000
 #: Words whose differences a task keeps at most.
@@ -84,6 +93,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = np.repeat(n, np.diff(np.append(starts, len(code))))
             found, inverse = np.unique(code, return_inverse=True)
             total = np.bincount(inverse, each).astype(np.int64)
+            for row in cells(list(counts)):
+                at, inverse = np.unique(row, return_inverse=True)
+                found, total = np.append(found, CODES + at), np.append(total, np.bincount(inverse, n).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), kind, np.int32)), pa.array(total)], names=["code", "kind", "n"]
             )
@@ -91,23 +103,44 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
-            words.setdefault(kind, Counter()).update(clean(text).split())
+            words.setdefault(kind, Counter()).update(plain_words(text))
         if sum(map(len, words.values())) > MOST_CACHED:
             yield from flushed()
     yield from flushed()
 
 
-def clean(text: str | None) -> str:
-    return (text or "").replace("\0", " ").lower()
+#: ASCII that is neither letter nor digit parts words.
+PARTED = {c: 32 for c in range(128) if not chr(c).isalnum()}
+
+
+def plain_words(text: str | None) -> list[str]:
+    return (text or "").lower().translate(PARTED).split()
+
+
+def cells(words: list[str]) -> np.ndarray:
+    """The cell of each word in each row of the sketch."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return np.stack([(h >> np.uint64(32 * r)).astype(np.int64) % CELLS + r * CELLS for r in range(ROWS)])
 
 
 class Model:
-    """For each code the difference of log-likelihoods of its last letter, toxic less ordinary."""
+    """For each code the difference of log-likelihoods of its last letter, toxic less ordinary, and both classes' word counts."""
 
     def __init__(self, code: np.ndarray, toxic: np.ndarray, n: np.ndarray):
         self.table = np.zeros(CODES, np.float16)
+        self.words = np.zeros((2, ROWS * CELLS), np.float32)
+        for y in (1, 0):
+            at = (toxic == y) & (code >= CODES)
+            np.add.at(self.words[y], code[at] - CODES, n[at])
+        self.totals = self.words[:, :CELLS].sum(1, dtype=float)
+        kinds = (self.words[:, :CELLS] > 0).sum(1)
+        #: the share of probability that unseen words have
+        self.saved = DISCOUNT * kinds / np.maximum(self.totals, 1)
+        letters = code < CODES
+        code, toxic, n = code[letters], toxic[letters], n[letters]
         both = [_grouped(code[toxic == y], n[toxic == y]) for y in (1, 0)]
-        if any(len(c) == 0 for c, _ in both):
+        self.trained = all(len(c) > 0 for c, _ in both)
+        if not self.trained:
             return
         pooled = np.unique(np.concatenate([c for c, _ in both]))
         three = np.unique(pooled & (LETTERS**3 - 1))
@@ -164,30 +197,39 @@ def _interpolated(counts: np.ndarray, lower: np.ndarray, start: int = 0) -> np.n
 class Reader:
     """Texts to features, with the differences of words kept for the task."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.letters, self.known = table, alphabet(), {}
+    def __init__(self, model: Model):
+        self.model, self.letters, self.known = model, alphabet(), {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > MOST_CACHED:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        if new:
-            code, starts = coded(new, self.letters)
-            self.known.update(zip(new, np.add.reduceat(self.table[code].astype(np.float64), starts).tolist(), strict=True))
+        if not new:
+            return
+        m = self.model
+        code, starts = coded(new, self.letters)
+        spelled = np.add.reduceat(m.table[code].astype(np.float64), starts)
+        counts = m.words[:, cells(new)].min(1)
+        # a word's letters weigh as much as LETTER_RATE a letter in the ordinary class, and by their difference in the toxic one
+        base = np.exp(-LETTER_RATE * np.minimum(np.diff(np.append(starts, len(code))), 40))
+        p = [np.maximum(counts[y] - DISCOUNT, 0) / max(m.totals[y], 1) + m.saved[y] * base * (np.exp(np.clip(spelled, -20, 20)) if y else 1.0) for y in (0, 1)]
+        whole = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300)) if m.trained else spelled
+        self.known.update(zip(new, np.stack([spelled, whole], 1), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the mean over all words, the highest means over passages, and the log of the length."""
-        out = np.zeros((len(texts), len(PASSAGES) + 2))
+        """For either model the mean over all words and the highest means over passages; the log of the length."""
+        out = np.zeros((len(texts), FEATURES))
         for i, text in enumerate(texts):
-            words = clean(text).split()
+            words = plain_words(text)
             if not words:
                 continue
             self.learn(set(words))
-            d = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-            upto = np.append(0.0, np.cumsum(d))
-            out[i, 0] = upto[-1] / len(d)
-            for j, width in enumerate(PASSAGES):
-                out[i, j + 1] = (upto[width:] - upto[:-width]).max() / width if len(d) > width else upto[-1] / width
+            d = np.array([self.known[w] for w in words])
+            upto = np.vstack([np.zeros((1, 2)), np.cumsum(d, 0)])
+            values = [upto[-1] / len(d)]
+            for width in PASSAGES:
+                values.append((upto[width:] - upto[:-width]).max(0) / width if len(d) > width else upto[-1] / width)
+            out[i, :-1] = np.concatenate(values)
             out[i, -1] = np.log1p(len(d))
         return out
 
@@ -228,22 +270,20 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
     sums = counted.groupBy("code", "kind").agg(F.sum("n").alias("n")).toPandas()
     code, kinds, n = (sums[c].to_numpy(np.int64) for c in ("code", "kind", "n"))
     first = kinds < 2
-    early = spark.sparkContext.broadcast(Model(code[first], kinds[first] % 2, n[first]).table)
+    early = spark.sparkContext.broadcast(Model(code[first], kinds[first] % 2, n[first]))
     held = rows.where(later)
     least = min(1.0, 1.3 * max_curve / max(1, held.select("doc_id").count()))
     held = held.withColumn("order", F.xxhash64("doc_id"))
     if least < 1:  # those of the smallest hash
         held = held.where(F.col("order") < F.lit(int(-(1 << 63) + least * (1 << 64))))
     scored = _with_features(held, early).select("features", "toxic").limit(2 * max_curve).collect()
-    x = np.array([r["features"] for r in scored]).reshape(len(scored), len(PASSAGES) + 2)
+    x = np.array([r["features"] for r in scored]).reshape(len(scored), FEATURES)
     curve = Curve(x, np.array([r["toxic"] for r in scored], float))
     early.unpersist()
     return Model(code, kinds % 2, n), curve
 
 
 def _with_features(df: DataFrame, shared) -> DataFrame:
-    from pyspark.sql.types import ArrayType
-
     def make():
         reader = Reader(shared.value)
 
@@ -259,8 +299,7 @@ def _with_features(df: DataFrame, shared) -> DataFrame:
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs with score, from 0 to 1, and predicted, 1 where the score reaches threshold."""
     model, curve = train(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model.table)
-    trained = bool(np.any(model.table))
+    shared, trained = docs.sparkSession.sparkContext.broadcast(model), model.trained
 
     def make():
         reader = Reader(shared.value)
