@@ -167,7 +167,7 @@ def bucketed(nodes: DataFrame, side: int = SIDE) -> DataFrame:
     return keys.repartition("slot").mapInArrow(_buckets, "key long, node long")
 
 
-def signed(docs: DataFrame, shingle: int = 2, side: int = SIDE, width: int = WIDTH) -> DataFrame:
+def signed(docs: DataFrame, shingle: int = 5, side: int = SIDE, width: int = WIDTH) -> DataFrame:
     """(doc_id, row, n_shingles, set_id, halves) of docs; row is the text's hash."""
     fields = {"n_shingles": LongType(), "set_id": BinaryType(), "halves": BinaryType()}
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
@@ -284,7 +284,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, compared: DataFrame, slack: flo
     return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) for each row of docs; row is the text's hash."""
     signs = work_table(signed(docs, shingle, side, width), "signs")
     first = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"), "doc_id", "row")
@@ -326,4 +326,4 @@ def dedup_near(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the near-duplicate component of every document."""
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(documents(spark, sf_dir), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
