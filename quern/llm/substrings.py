@@ -12,9 +12,9 @@ it and those that reach right, in order, so its match is extended both ways
 where anchors meet, and adjoining matches make maximal repeats. A match needs the
 64-bit hash of the anchor and 48 more bits of the window to agree.
 
-Before the shuffle each task drops the windows that it has met itself and notes
-them as repeats, so an anchor that a third of all documents share reaches its
-reducer at most once from each task.
+Before the shuffle each task drops, block by block, the windows that it has met
+in the block and notes them as repeats, so an anchor that a third of all documents
+share reaches its reducer at most once from each block.
 
 Null texts have no words. Null ids come after all others. Rows of one id are one
 document as to what is earlier: windows of one id and start do not remove each
@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from quern.llm.common import documents, text_of
-from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, rolled, texts_of, with_columns
+from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, rolled, slices, texts_of, with_columns
 
 LENGTH = 20
 ANCHOR = 6
+#: Windows of a task that are compared at once before the shuffle, which bounds its memory.
+BLOCK = 1_500_000
 LAST = np.iinfo(np.int64).max
 ROWS = "anchor long, id long, row long, start int, n int, prints binary"
 
@@ -74,10 +76,10 @@ def _seeds(length: int, anchor: int):
         cache = HashCache()
         held: list[tuple] = []
         words = 0
-        for batch in batches:
-            held.append(_windows(batch, cache, length, anchor))
+        for part in (x for batch in batches for x in slices(batch, "text", 4 << 20)):
+            held.append(_windows(part, cache, length, anchor))
             words += len(held[-1][0])
-            if words >= 4_000_000:  # a share of the task's windows that fits in memory
+            if words >= BLOCK:
                 yield from _emitted(held)
                 held, words = [], 0
         yield from _emitted(held)

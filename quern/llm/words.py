@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
@@ -14,7 +15,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Words whose hashes a task keeps at most; the table starts anew beyond it.
-MOST_CACHED = 1_000_000
+MOST_CACHED = 300_000
 
 
 class HashCache(dict):
@@ -45,6 +46,19 @@ def hashed_words(texts: list[bytes], cache: HashCache) -> tuple[np.ndarray, np.n
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), ends
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of text, of a row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    for a, b in zip(*_bounds(part), strict=True):
+        yield batch.slice(a, b - a)
+
+
+def _bounds(part: np.ndarray) -> tuple[list[int], list[int]]:
+    new = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return new.tolist(), np.append(new[1:], len(part)).tolist() if len(new) else []
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * MIX[0]
     h = (h ^ (h >> np.uint64(27))) * MIX[1]
