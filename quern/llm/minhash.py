@@ -17,10 +17,9 @@ under it, so a key that a third of all documents share reaches its reducer at mo
 once from each task. Candidates come in rounds. In each star round a bucket's
 classes are compared with one of them, so there are no more candidates than rows;
 pairs already compared, and pairs already connected, are left out. What is still not
-connected within a bucket is compared pair by pair in the last round; there the
-triangle inequality of Jaccard distance leaves out classes whose distances
-to the bucket's first one differ by more than 1 - threshold. Candidates are verified
-on whole sets of 64-bit shingle hashes. Components come from repeated minimum
+connected within a bucket is compared in the last round by products of 0/1
+matrices, block by block, and only pairs near the threshold leave a block.
+Candidates are verified on whole sets of 64-bit shingle hashes. Components come from repeated minimum
 labels with pointer jumping, written to the shared folder after each step.
 
 Null texts and texts without words have no set and are linked with nothing. Null
@@ -47,6 +46,8 @@ SIDE, WIDTH = 14, 3
 THRESHOLD = 0.8
 #: Star rounds before the last one.
 STARS = 2
+#: Nodes of a block of the last round.
+GROUP = 512
 #: Ids up to which the list of documents to verify is broadcast: about 40 bytes each.
 MOST_BROADCAST = 1_000_000
 LAST = np.iinfo(np.int64).max
@@ -189,11 +190,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _set_reader(shingle: int):
+def _set_reader(shingle: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
-            sets = [s.tobytes() for s in _sets(batch, "text", cache, shingle)]
+            sets = [s.astype(kind).tobytes() for s in _sets(batch, "text", cache, shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
@@ -218,6 +219,7 @@ class Linker:
         self.docs, self.nodes, self.shingle = docs, nodes, shingle
         self.percent = round(100 * threshold)
         self.done: DataFrame | None = None
+        self.repeats = nodes.where("copies > 1").limit(1).count() > 0
 
     def compare(self, pairs: DataFrame) -> int:
         """Compares those of pairs (a < b) that were not; how many were."""
@@ -227,15 +229,7 @@ class Linker:
         count = pairs.count()
         if count == 0 and self.done is not None:
             return 0
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = work_table(wanted.join(self.nodes.select("node", "doc_id", "row"), "node"), "wanted")
-        if wanted.count() <= MOST_BROADCAST:
-            wanted = F.broadcast(wanted)
-        rows = self.docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
-        same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
-        # repeated rows give a node's set several times
-        sets = rows.join(wanted, same).select("node", "text").mapInArrow(_set_reader(self.shingle), "node long, shingles binary")
-        sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles")) if self._repeats() else sets
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         left = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
         whole = left.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
         compared = whole.mapInArrow(_compared, "a long, b long, shared long, joint long")
@@ -243,8 +237,16 @@ class Linker:
         self.done = compared if self.done is None else self.done.union(compared)
         return count
 
-    def _repeats(self) -> bool:
-        return self.nodes.where("copies > 1").limit(1).count() > 0
+    def sets(self, wanted: DataFrame, kind: str = "u8") -> DataFrame:
+        """(node, shingles) of the nodes wanted; of kind u4 only half of each hash."""
+        wanted = work_table(wanted.join(self.nodes.select("node", "doc_id", "row"), "node"), "wanted")
+        if wanted.count() <= MOST_BROADCAST:
+            wanted = F.broadcast(wanted)
+        rows = self.docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
+        same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
+        sets = rows.join(wanted, same).select("node", "text").mapInArrow(_set_reader(self.shingle, kind), "node long, shingles binary")
+        # repeated rows give a node's set several times
+        return sets.groupBy("node").agg(F.first("shingles").alias("shingles")) if self.repeats else sets
 
     def links(self) -> DataFrame:
         return self.done.where(100 * F.col("shared") >= self.percent * F.col("joint"))
@@ -265,23 +267,82 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("label_a != label_b")
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, compared: DataFrame, slack: float) -> DataFrame:
-    """The pairs within buckets that labels do not connect and that can be near each other."""
-    named = buckets.distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = work_table(named, "named")
-    mixed_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(0))).alias("head"))
-    mixed_keys = mixed_keys.where("low != high and n > 2").select("key", "head")
-    members = named.join(mixed_keys, "key")
-    away = compared.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("away"))
-    members = members.withColumns({"a": F.least("node", "head"), "b": F.greatest("node", "head")}).join(away, ["a", "b"], "left")
-    # a pair that a star left out as connected has no distance: it may be any
-    members = members.withColumn("away", F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("away")))
-    members = work_table(members.select("key", "node", "label", "away"), "members")
-    # the largest component of a bucket needs no comparison within itself
-    other = members.withColumnsRenamed({c: f"{c}_2" for c in ("node", "label", "away")})
-    near = F.coalesce(F.abs(F.col("away") - F.col("away_2")) <= slack + 1e-9, F.lit(True))
-    pairs = members.join(other, "key").where((F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & near)
-    return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+def _blocked(percent: int):
+    """Rows (slot, first, second, node, label, block, values), sorted by the first three, to pairs to verify.
+
+    A group holds two blocks of nodes that share a small key, or one block twice.
+    Intersections of all pairs come from products of 0/1 matrices.
+    """
+
+    def pairs_of(group: list[tuple]) -> pa.RecordBatch | None:
+        first, second = group[0][1:3]
+        nodes, labels, blocks = (np.array([r[i] for r in group]) for i in (3, 4, 5))
+        if len(group) < 2 or (labels == labels[0]).all():
+            return None
+        sets = [np.unique(np.frombuffer(r[6], np.uint32)) for r in group]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times[column] > 1
+        number = np.cumsum(times > 1) - 1
+        owner, column = owner[several], number[column[several]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        step = max(1, 8_000_000 // len(sets))
+        for start in range(0, int((times > 1).sum()), step):
+            a, b = np.searchsorted(column, [start, start + step])
+            m = np.zeros((len(sets), step), np.float32)
+            m[owner[a:b], column[a:b] - start] = 1
+            shared += m @ m.T
+        joint = size[:, None] + size[None, :] - shared
+        near = (100 * shared >= (percent - 1) * joint) & (labels[:, None] != labels[None, :]) & (nodes[:, None] < nodes[None, :])
+        if first != second:
+            near &= blocks[:, None] != blocks[None, :]
+        i, j = np.nonzero(near)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[-1][:3] != row[:3]:
+                    if (found := pairs_of(group)) is not None:
+                        yield found
+                    group = []
+                group.append(row)
+        if group and (found := pairs_of(group)) is not None:
+            yield found
+
+    return run
+
+
+def _rest(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, linker: Linker, side: int) -> DataFrame:
+    """(a, b) of the pairs that share a bucket, are not connected, and are within a hundredth of the threshold.
+
+    Nodes of buckets that are not of one component meet by the small keys of the
+    first collection, of which each bucket is a part, so that there are SIDE small
+    keys a node instead of SIDE x SIDE. Large groups meet in blocks.
+    """
+    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    apart = apart.where("low != high and n > 2").select("key")
+    members = work_table(named.join(apart, "key").select("node", "label").distinct(), "members")
+    small = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.substring(F.col("halves"), i * 8 + 1, F.lit(8)))).alias("i", "half")
+    met = members.join(nodes.select("node", "halves"), "node").select("node", "label", small)
+    met = met.withColumn("slot", F.xxhash64("i", "half")).drop("i", "half")
+    groups = met.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = groups.where("low != high").select("slot", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    met = work_table(met.join(groups, "slot"), "met")
+    sets = linker.sets(met.select("node").distinct(), "u4")
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = met.select("slot", "node", "label", "block", other)
+    dealt = met.join(sets, "node").select(
+        "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "label", "block", "shingles"
+    )
+    dealt = dealt.repartition("slot", "first", "second").sortWithinPartitions("slot", "first", "second")
+    return dealt.mapInArrow(_blocked(linker.percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:
@@ -303,7 +364,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESH
             pairs = _apart(pairs, labels).select("a", "b")
         if linker.compare(pairs) or labels is None:
             labels = components(linker.links())
-    if linker.compare(_rest(buckets, labels, linker.done, 1 - threshold)):
+    if linker.compare(_rest(buckets, labels, nodes, linker, side)):
         labels = components(linker.links())
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("set_id", "label", "order")
     smallest = named.groupBy("label").agg(F.min("order").alias("component"))
