@@ -289,10 +289,10 @@ def _blocked(percent: int):
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         shared = np.zeros((len(sets), len(sets)), np.float32)
-        step = max(1, 8_000_000 // len(sets))
-        for start in range(0, int((times > 1).sum()), step):
+        columns, step = int((times > 1).sum()), max(1, 8_000_000 // len(sets))
+        for start in range(0, columns, step):
             a, b = np.searchsorted(column, [start, start + step])
-            m = np.zeros((len(sets), step), np.float32)
+            m = np.zeros((len(sets), min(step, columns - start)), np.float32)
             m[owner[a:b], column[a:b] - start] = 1
             shared += m @ m.T
         joint = size[:, None] + size[None, :] - shared

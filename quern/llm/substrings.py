@@ -37,6 +37,8 @@ from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, roll
 
 LENGTH = 20
 ANCHOR = 6
+#: What of a text's hash tells rows of one id apart.
+ROW_BITS = (1 << 24) - 1
 #: Windows of a task that are compared at once before the shuffle, which bounds its memory.
 BLOCK = 1_500_000
 LAST = np.iinfo(np.int64).max
@@ -202,7 +204,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     if not 1 <= anchor <= length:
         raise ValueError("an anchor has 1 to length words")
     text = text_of(docs)
-    keyed = {"_q_text": text, "_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_q_hash": F.xxhash64(text)}
+    keyed = {"_q_text": text, "_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_q_hash": F.xxhash64(text).bitwiseAND(F.lit(ROW_BITS))}
     df = docs.withColumns(keyed)
     plain = df.select(F.col("_q_text").alias("text"), F.col("_q_id").alias("id"), F.col("_q_hash").alias("row"))
     seeds = plain.mapInArrow(_seeds(length, anchor), ROWS).repartition("anchor")
