@@ -25,7 +25,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,18 +36,27 @@ BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
 RESULT = "query_id long, vec_id long, score double"
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products, each added up in the same order wherever the vectors stand."""
-    return np.einsum("qd,nd->qn", queries, rows, optimize=False)
+def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the row, score) of each query's k best, in order.
 
+    A matrix product finds what comes near the k best; their scores are then added up
+    in one order wherever the vectors stand, so equal vectors tie exactly.
+    """
+    rough = queries @ rows.T
+    rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    cut = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
+    floor = np.where(np.isfinite(cut), cut - 1e-9 * (1 + np.abs(cut)), -np.inf)
+    q, r = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
+    return _firsts(q, r, np.einsum("id,id->i", queries[q], rows[r], optimize=False), ids[r], k)
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best, ties to the smaller id; minus infinity is none."""
-    usable = np.flatnonzero(scores > -np.inf)
-    if len(usable) > k:
-        cut = np.partition(scores[usable], len(usable) - k)[len(usable) - k]
-        usable = usable[scores[usable] >= cut]
-    return usable[np.lexsort((ids[usable], -scores[usable]))][:k]
+
+def _firsts(q: np.ndarray, r: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of the highest scores of each q, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, q))
+    q, r, scores = q[order], r[order], scores[order]
+    head = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1]), np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
+    kept = np.arange(len(q)) - head < k
+    return q[kept], r[kept], scores[kept]
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -163,13 +171,8 @@ def _brute(shared, k: int):
             if b.num_rows == 0:
                 continue
             rows, leaf = b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
-            scores = products(queries, _matrix(b.column("v")))
-            scores[ids[:, None] == rows[None, :]] = -np.inf
-            for q, own in zip(ids, scores, strict=True):
-                at = best_of(own, rows, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), q)), pa.array(rows[at]), pa.array(own[at]), pa.array(leaf[at].astype(np.int32))], names=["query_id", "vec_id", "score", "leaf"]
-                )
+            q, r, scores = nearest(queries, ids, _matrix(b.column("v")), rows, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows[r]), pa.array(scores), pa.array(leaf[r].astype(np.int32))], names=["query_id", "vec_id", "score", "leaf"])
 
     return run
 
@@ -228,22 +231,46 @@ def _visiting(shared, sizes: np.ndarray, n: int, k: int):
 
 
 def _searched(k: int):
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            rows, ids = np.stack(left["v"]), left["vec_id"].to_numpy()
-            for a in range(0, len(right), 256):
-                part = right.iloc[a : a + 256]
-                scores = products(np.stack(part["q"]), rows)
-                for q, own in zip(part["query_id"].to_numpy(), scores, strict=True):
-                    own[ids == q] = -np.inf
-                    at = best_of(own, ids, k)
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "score": own[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    """A block of rows and one of queries to a row for each query: its k best there."""
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, out = ["query_id", "ids", "scores"], [[], [], []]
+        if left.num_rows and right.num_rows:
+            rows, ids = _matrix(left.column("v")), left.column("vec_id").to_numpy()
+            queries, asked = _matrix(right.column("q")), right.column("query_id").to_numpy()
+            for a in range(0, len(asked), 512):
+                q, r, scores = nearest(queries[a : a + 512], asked[a : a + 512], rows, ids, k)
+                ends = np.searchsorted(q, np.arange(len(asked[a : a + 512]) + 1))
+                for i, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if y > x:
+                        out[0].append(int(asked[a + i]))
+                        out[1].append(ids[r[x:y]].tobytes())
+                        out[2].append(scores[x:y].tobytes())
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=names)
 
     return search
 
 
+def _merged(k: int):
+    """A partition by query of what blocks found, to the k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        t = pa.Table.from_batches(found)
+        ids = [np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()]
+        scores = np.frombuffer(b"".join(t.column("scores").to_pylist()), float)
+        query = np.repeat(t.column("query_id").to_numpy(), [len(x) for x in ids])
+        ids = np.concatenate(ids)
+        q, r, scores = _firsts(query, np.arange(len(ids)), scores, ids, k)
+        head = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1]), np.arange(len(q)), 0))
+        rank = (np.arange(len(q)) - head + 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank), pa.array(ids[r]), pa.array(scores)], names=["query_id", "rank", "vec_id", "score"])
+
+    return run
+
+
 def _parts(leaf: Column, counts: np.ndarray, size: int) -> Column:
     """In how many blocks of about size rows a leaf's rows are dealt."""
     return F.element_at(F.lit([int(max(1, -(-c // size))) for c in counts]), leaf + 1)
@@ -255,8 +282,8 @@ def search(
     every: int = EVERY,
     max_fit: int = 20_000,
     branch: int = 16,
-    leaf_rows: int = 256,
-    recall: float = 0.95,
+    leaf_rows: int = 512,
+    recall: float = 0.93,
     calibration: int = 200,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by every."""
@@ -283,8 +310,8 @@ def search(
     left = homes.withColumn("row_part", F.pmod(F.xxhash64("vec_id", F.lit(1)), row_parts).cast("int")).withColumn("query_part", all_parts(query_parts))
     right = visits.withColumn("query_part", F.pmod(F.xxhash64("query_id", F.lit(2)), query_parts).cast("int")).withColumn("row_part", all_parts(row_parts))
     keys = ("leaf", "row_part", "query_part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searched(k), RESULT)
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, ids binary, scores binary")
+    return found.repartition("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
