@@ -1,7 +1,7 @@
 """Toxicity: class-conditional Kneser-Ney models of words and letters.
 
 Two models, of toxic and of ordinary documents, give each word the difference of
-its log-likelihoods: once as letters, by interpolated Kneser-Ney models of five
+its log-likelihoods: once as letters, by interpolated Kneser-Ney models of four
 letters within words, and once as a whole, by discounted word counts that fall
 back on the letters. The two classes share the counts of the two lowest orders, so
 a rare expression that only one class has seen falls back on the same ground in
@@ -10,8 +10,8 @@ the whole text and over its most toxic passages of a few words, through a logist
 curve.
 
 The counts cover every labelled training document. They are summed in Spark by
-five-letter code, of 25 bits, and for words by the cells of a count-min sketch, so
-what is collected and what is broadcast (64 MB for the letters, one half-precision
+four-letter code, of 20 bits, and for words by the cells of a count-min sketch, so
+what is collected and what is broadcast (2 MB for the letters, one half-precision
 number a code, and 8 MB for the words) have a size that does not depend on the
 input. The curve is fitted on about ``max_curve`` labelled training documents, which a
 first model did not count.
@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from quern.llm.common import documents, held_out, replacing
 from quern.llm.words import with_columns
 
-BITS, ORDER, DISCOUNT = 5, 5, 0.75
+BITS, ORDER, DISCOUNT = 5, 4, 0.75
 LETTERS = 1 << BITS
 CODES = 1 << (BITS * ORDER)
 #: Words in a passage.
@@ -66,7 +66,7 @@ def alphabet() -> np.ndarray:
 
 
 def coded(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the five-letter sequences of all words, and where each word's begin."""
+    """Codes of the four-letter sequences of all words, and where each word's begin."""
     text = "\0".join(words) + "\0"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     edge = points == 0
@@ -109,6 +109,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of counts as one row, which a driver gathers in little memory."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], names=["code", "kind", "n"])
+
+
 #: ASCII that is neither letter nor digit parts words.
 PARTED = {c: 32 for c in range(128) if not chr(c).isalnum()}
 
@@ -151,19 +158,22 @@ class Model:
         p1 /= p1.sum()
         p2 = _interpolated(_dense(two, seen, 2), p1)
         levels = []
-        for c5, n5 in both:
-            four = _continued(c5, 4)
-            three = _continued(four[0], 3)
-            p3 = _interpolated(_dense(*three, 3), p2)
-            levels.append((c5, n5, _interpolated(_dense(*four, 4), p3)))
+        for top, counts in both:
+            below = {ORDER: (top, counts)}
+            for order in range(ORDER - 1, 2, -1):
+                below[order] = _continued(below[order + 1][0], order)
+            p = p2
+            for order in range(3, ORDER):
+                p = _interpolated(_dense(*below[order], order), p)
+            levels.append((top, counts, p))
         block = CODES // 32
         for start in range(0, CODES, block):
             logs = []
-            for c5, n5, p4 in levels:
-                a, b = np.searchsorted(c5, [start, start + block])
+            for top, n, p in levels:
+                a, b = np.searchsorted(top, [start, start + block])
                 counts = np.zeros(block, np.float32)
-                counts[c5[a:b] - start] = n5[a:b]
-                logs.append(np.log(_interpolated(counts, p4, start)))
+                counts[top[a:b] - start] = n[a:b]
+                logs.append(np.log(_interpolated(counts, p, start)))
             self.table[start : start + block] = logs[0] - logs[1]
 
 
@@ -267,8 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
     later = F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string"))) % 4 == 0
     kind = F.col("toxic") + 2 * later.cast("int")
     counted = rows.select("text", kind.alias("kind")).mapInArrow(_counted, "code int, kind int, n long")
-    sums = counted.groupBy("code", "kind").agg(F.sum("n").alias("n")).toPandas()
-    code, kinds, n = (sums[c].to_numpy(np.int64) for c in ("code", "kind", "n"))
+    sums = counted.groupBy("code", "kind").agg(F.sum("n").alias("n"))
+    packed = sums.mapInArrow(_packed, "code binary, kind binary, n binary").collect()
+    code, kinds, n = (np.frombuffer(b"".join(r[c] for r in packed), kind).astype(np.int64) for c, kind in (("code", np.int32), ("kind", np.int32), ("n", np.int64)))
+    del packed
     first = kinds < 2
     early = spark.sparkContext.broadcast(Model(code[first], kinds[first] % 2, n[first]))
     held = rows.where(later)
@@ -279,7 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
     scored = _with_features(held, early).select("features", "toxic").limit(2 * max_curve).collect()
     x = np.array([r["features"] for r in scored]).reshape(len(scored), FEATURES)
     curve = Curve(x, np.array([r["toxic"] for r in scored], float))
-    early.unpersist()
+    early.destroy()
+    del early
     return Model(code, kinds % 2, n), curve
 
 
