@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
 from quern.llm.common import documents, work_table
-from quern.llm.words import HashCache, hashed_words, mixed, rolled, texts_of, with_columns
+from quern.llm.words import HashCache, hashed_words, mixed, rolled, slices, texts_of, with_columns
 
 SIDE, WIDTH = 14, 3
 THRESHOLD = 0.8
@@ -55,7 +55,11 @@ LAST = np.iinfo(np.int64).max
 
 def _sets(batch: pa.RecordBatch, column: str, cache: HashCache, shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    h, ends = hashed_words([t.lower() for t in texts_of(batch, column)], cache)
+    return [s for part in slices(batch, column, 4 << 20) for s in _sets_of(texts_of(part, column), cache, shingle)]
+
+
+def _sets_of(texts: list[bytes], cache: HashCache, shingle: int) -> list[np.ndarray]:
+    h, ends = hashed_words([t.lower() for t in texts], cache)
     every = mixed(rolled(h, shingle)) if len(h) >= shingle else h[:0]
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

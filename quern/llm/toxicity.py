@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from quern.llm.common import documents, held_out, replacing
-from quern.llm.words import with_columns
+from quern.llm.words import slices, with_columns
 
 BITS, ORDER, DISCOUNT = 5, 4, 0.75
 LETTERS = 1 << BITS
@@ -52,7 +52,9 @@ FEATURES = 2 * (len(PASSAGES) + 1) + 1
 #: Rows of labels up to which they are broadcast: 16 bytes each.
 MOST_BROADCAST = 2_000_000
 #: Words whose differences a task keeps at most.
-MOST_CACHED = 500_000
+MOST_CACHED = 200_000
+#: Bytes of text that a task takes at once.
+SLICE = 2 << 20
 
 
 def alphabet() -> np.ndarray:
@@ -101,7 +103,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         words.clear()
 
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole, "text", SLICE)):
         for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
             words.setdefault(kind, Counter()).update(plain_words(text))
         if sum(map(len, words.values())) > MOST_CACHED:
@@ -208,11 +210,15 @@ class Reader:
     """Texts to features, with the differences of words kept for the task."""
 
     def __init__(self, model: Model):
-        self.model, self.letters, self.known = model, alphabet(), {}
+        self.model, self.letters = model, alphabet()
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((0, 2))
 
     def learn(self, words: set[str]) -> None:
+        """Makes sure that self.known has the places in self.values of all words."""
         if len(self.known) > MOST_CACHED:
             self.known.clear()
+            self.values = np.zeros((0, 2))
         new = [w for w in words if w not in self.known]
         if not new:
             return
@@ -224,17 +230,18 @@ class Reader:
         base = np.exp(-LETTER_RATE * np.minimum(np.diff(np.append(starts, len(code))), 40))
         p = [np.maximum(counts[y] - DISCOUNT, 0) / max(m.totals[y], 1) + m.saved[y] * base * (np.exp(np.clip(spelled, -20, 20)) if y else 1.0) for y in (0, 1)]
         whole = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300)) if m.trained else spelled
-        self.known.update(zip(new, np.stack([spelled, whole], 1), strict=True))
+        self.known.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+        self.values = np.vstack([self.values, np.stack([spelled, whole], 1)])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """For either model the mean over all words and the highest means over passages; the log of the length."""
         out = np.zeros((len(texts), FEATURES))
-        for i, text in enumerate(texts):
-            words = plain_words(text)
+        lists = [plain_words(t) for t in texts]
+        self.learn(set().union(*lists))
+        for i, words in enumerate(lists):
             if not words:
                 continue
-            self.learn(set(words))
-            d = np.array([self.known[w] for w in words])
+            d = self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
             upto = np.vstack([np.zeros((1, 2)), np.cumsum(d, 0)])
             values = [upto[-1] / len(d)]
             for width in PASSAGES:
@@ -243,6 +250,10 @@ class Reader:
             out[i, -1] = np.log1p(len(d))
         return out
 
+    def over(self, batch: pa.RecordBatch) -> np.ndarray:
+        parts = [self.features(part.column("text").to_pylist()) for part in slices(batch, "text", SLICE)]
+        return np.vstack([np.zeros((0, FEATURES)), *parts])
+
 
 class Curve:
     """Logistic regression with a ridge on standardised features, by Newton's steps."""
@@ -301,7 +312,7 @@ def _with_features(df: DataFrame, shared) -> DataFrame:
         reader = Reader(shared.value)
 
         def of(batch: pa.RecordBatch) -> list:
-            x = reader.features(batch.column("text").to_pylist())
+            x = reader.over(batch)
             return [pa.array(x.tolist(), pa.list_(pa.float64()))]
 
         return of
@@ -318,7 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         reader = Reader(shared.value)
 
         def of(batch: pa.RecordBatch) -> list:
-            x = reader.features(batch.column("text").to_pylist())
+            x = reader.over(batch)
             p = curve(x) if trained else np.zeros(len(x))
             return [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
 

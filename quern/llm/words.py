@@ -48,7 +48,8 @@ def hashed_words(texts: list[bytes], cache: HashCache) -> tuple[np.ndarray, np.n
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of text, of a row at least."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = batch.column(column)
+    size = pc.fill_null(pc.binary_length(text.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(size) - size) // most
     for a, b in zip(*_bounds(part), strict=True):
         yield batch.slice(a, b - a)
