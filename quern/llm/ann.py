@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import work_table
+from quern.llm.words import trimmed
 
 K, EVERY = 20, 20
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
@@ -191,7 +192,7 @@ def calibrated(homes: DataFrame, tree: Tree, queries: DataFrame, k: int, recall:
     ids, first = np.unique(ids, return_index=True)
     vectors = vectors[first]
     shared = homes.sparkSession.sparkContext.broadcast((ids, vectors))
-    exact = _ranked(homes.mapInArrow(_brute(shared, k), RESULT + ", leaf int"), k).select("query_id", "leaf").collect()
+    exact = _ranked(homes.mapInArrow(trimmed(_brute(shared, k)), RESULT + ", leaf int"), k).select("query_id", "leaf").collect()
     wanted: dict[int, list[int]] = {}
     for r in exact:
         wanted.setdefault(r["query_id"], []).append(r["leaf"])
@@ -295,13 +296,13 @@ def search(
     x = np.array([r["v"] for r in sample]) if sample else np.zeros((0, 1))
     tree = Tree(x, longest or 0.0, total / max(1, len(x)), branch, leaf_rows)
     shared = spark.sparkContext.broadcast(tree)
-    homes = work_table(rows.mapInArrow(_homes(shared), "vec_id long, v array<double>, leaf int"), "ann-homes")
+    homes = work_table(rows.mapInArrow(trimmed(_homes(shared)), "vec_id long, v array<double>, leaf int"), "ann-homes")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in homes.groupBy("leaf").count().collect():  # a row for each leaf
         sizes[r["leaf"]] = r["count"]
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n, _ = calibrated(homes, tree, queries, k, recall, calibration)
-    visits = work_table(queries.mapInArrow(_visiting(shared, sizes, n, k), "query_id long, q array<double>, leaf int"), "ann-visits")
+    visits = work_table(queries.mapInArrow(trimmed(_visiting(shared, sizes, n, k)), "query_id long, q array<double>, leaf int"), "ann-visits")
     asked = np.zeros(tree.leaves, np.int64)
     for r in visits.groupBy("leaf").count().collect():
         asked[r["leaf"]] = r["count"]
@@ -311,7 +312,7 @@ def search(
     right = visits.withColumn("query_part", F.pmod(F.xxhash64("query_id", F.lit(2)), query_parts).cast("int")).withColumn("row_part", all_parts(row_parts))
     keys = ("leaf", "row_part", "query_part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, ids binary, scores binary")
-    return found.repartition("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
+    return found.repartition("query_id").mapInArrow(trimmed(_merged(k)), "query_id long, rank int, vec_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,22 @@ def _finish(share: int, cut: bool):
     return make
 
 
+def _both(scanner, finisher):
+    """The last scan and the sums over all scans in one pass."""
+
+    def make():
+        scan, finish = scanner(), finisher()
+
+        def of(batch: pa.RecordBatch) -> list:
+            spans, items, counts = scan(batch)
+            found = pa.RecordBatch.from_arrays([batch.column("text"), spans, counts], names=["text", "_q_spans", "n_words"])
+            return [items, counts, *finish(found)]
+
+        return of
+
+    return make
+
+
 def _without(text: bytes, mask: np.ndarray) -> bytes:
     """text without the runs of words that are hit, nor what stands between the words of a run."""
     spans = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(TABLE))]
@@ -150,12 +166,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENG
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     df = docs.withColumns({"_q_spans": F.lit(None).cast("binary"), "_q_items": F.lit(None).cast("array<string>")})
     fields = {"_q_spans": BinaryType(), "_q_items": ArrayType(StringType()), "n_words": LongType()}
+    last = {"n_hit": LongType(), "contaminated": BooleanType()} | ({"clean_text": StringType()} if cut else {})
     for b in range(blocks):
         rows = items.where(block == b).collect()  # of bounded size
         shared = spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["text"])) for r in rows], length))
-        df = with_columns(df, fields, _scanner(shared))
-    last = {"n_hit": LongType(), "contaminated": BooleanType()} | ({"clean_text": StringType()} if cut else {})
-    df = with_columns(df, last, _finish(share, cut), ("_q_spans",))
+        if b < blocks - 1:
+            df = with_columns(df, fields, _scanner(shared))
+    kept = {k: v for k, v in fields.items() if k != "_q_spans"} | last
+    df = with_columns(df, kept, _both(_scanner(shared), _finish(share, cut)), ("_q_spans",))
     return df.drop("items").withColumnRenamed("_q_items", "items")
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
 from quern.llm.common import documents, work_table
-from quern.llm.words import HashCache, hashed_words, mixed, rolled, slices, texts_of, with_columns
+from quern.llm.words import HashCache, hashed_words, mixed, rolled, slices, texts_of, trimmed, with_columns
 
 SIDE, WIDTH = 14, 3
 THRESHOLD = 0.8
@@ -114,7 +114,7 @@ def _rows(keys, nodes, slots, met) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["key", "node", "slot", "met"])
 
 
-def _tensored(side: int, most: int = 2_000_000):
+def _tensored(side: int, most: int = 1_000_000):
     """(node, halves) to (key, node, slot, met): the keys of all tables.
 
     One row of each key of a block of nodes goes to the key's slot; where a block
@@ -168,8 +168,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bucketed(nodes: DataFrame, side: int = SIDE) -> DataFrame:
     """(key, node) of the buckets that hold several of the nodes (node, halves)."""
-    keys = nodes.select("node", "halves").mapInArrow(_tensored(side), "key long, node long, slot long, met boolean")
-    return keys.repartition("slot").mapInArrow(_buckets, "key long, node long")
+    keys = nodes.select("node", "halves").mapInArrow(trimmed(_tensored(side)), "key long, node long, slot long, met boolean")
+    return keys.repartition("slot").mapInArrow(trimmed(_buckets), "key long, node long")
 
 
 def signed(docs: DataFrame, shingle: int = 5, side: int = SIDE, width: int = WIDTH) -> DataFrame:
@@ -236,7 +236,7 @@ class Linker:
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         left = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
         whole = left.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-        compared = whole.mapInArrow(_compared, "a long, b long, shared long, joint long")
+        compared = whole.mapInArrow(trimmed(_compared), "a long, b long, shared long, joint long")
         compared = work_table(compared, "compared")
         self.done = compared if self.done is None else self.done.union(compared)
         return count
@@ -248,7 +248,7 @@ class Linker:
             wanted = F.broadcast(wanted)
         rows = self.docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
         same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
-        sets = rows.join(wanted, same).select("node", "text").mapInArrow(_set_reader(self.shingle, kind), "node long, shingles binary")
+        sets = rows.join(wanted, same).select("node", "text").mapInArrow(trimmed(_set_reader(self.shingle, kind)), "node long, shingles binary")
         # repeated rows give a node's set several times
         return sets.groupBy("node").agg(F.first("shingles").alias("shingles")) if self.repeats else sets
 
@@ -346,7 +346,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, linker: Linke
         "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "label", "block", "shingles"
     )
     dealt = dealt.repartition("slot", "first", "second").sortWithinPartitions("slot", "first", "second")
-    return dealt.mapInArrow(_blocked(linker.percent), "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(_blocked(linker.percent)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:

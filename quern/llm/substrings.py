@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from quern.llm.common import documents, text_of
-from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, rolled, slices, texts_of, with_columns
+from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, rolled, slices, texts_of, trimmed, with_columns
 
 LENGTH = 20
 ANCHOR = 6
@@ -207,8 +207,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     keyed = {"_q_text": text, "_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_q_hash": F.xxhash64(text).bitwiseAND(F.lit(ROW_BITS))}
     df = docs.withColumns(keyed)
     plain = df.select(F.col("_q_text").alias("text"), F.col("_q_id").alias("id"), F.col("_q_hash").alias("row"))
-    seeds = plain.mapInArrow(_seeds(length, anchor), ROWS).repartition("anchor")
-    repeats = seeds.mapInArrow(_extended, "id long, row long, runs binary")
+    seeds = plain.mapInArrow(trimmed(_seeds(length, anchor)), ROWS).repartition("anchor")
+    repeats = seeds.mapInArrow(trimmed(_extended), "id long, row long, runs binary")
     # the repeats of one document: no more than it has windows
     merged = repeats.groupBy(F.col("id").alias("_q_id"), F.col("row").alias("_q_hash")).agg(F.collect_list("runs").alias("_q_runs"))
     joined = df.join(merged, ["_q_id", "_q_hash"], "left")

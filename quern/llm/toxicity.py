@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from quern.llm.common import documents, held_out, replacing
-from quern.llm.words import slices, with_columns
+from quern.llm.words import slices, trimmed, with_columns
 
 BITS, ORDER, DISCOUNT = 5, 4, 0.75
 LETTERS = 1 << BITS
@@ -52,7 +52,7 @@ FEATURES = 2 * (len(PASSAGES) + 1) + 1
 #: Rows of labels up to which they are broadcast: 16 bytes each.
 MOST_BROADCAST = 2_000_000
 #: Words whose differences a task keeps at most.
-MOST_CACHED = 200_000
+MOST_CACHED = 100_000
 #: Bytes of text that a task takes at once.
 SLICE = 2 << 20
 
@@ -90,6 +90,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flushed():
         for kind, counts in words.items():
+            if not counts:
+                continue
             code, starts = coded(list(counts), table)
             n = np.fromiter(counts.values(), np.int64, len(counts))
             each = np.repeat(n, np.diff(np.append(starts, len(code))))
@@ -287,9 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
     rows = plain.join(F.broadcast(marked) if few else marked, "doc_id")
     later = F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string"))) % 4 == 0
     kind = F.col("toxic") + 2 * later.cast("int")
-    counted = rows.select("text", kind.alias("kind")).mapInArrow(_counted, "code int, kind int, n long")
+    counted = rows.select("text", kind.alias("kind")).mapInArrow(trimmed(_counted), "code int, kind int, n long")
     sums = counted.groupBy("code", "kind").agg(F.sum("n").alias("n"))
-    packed = sums.mapInArrow(_packed, "code binary, kind binary, n binary").collect()
+    packed = sums.mapInArrow(trimmed(_packed), "code binary, kind binary, n binary").collect()
     code, kinds, n = (np.frombuffer(b"".join(r[c] for r in packed), kind).astype(np.int64) for c, kind in (("code", np.int32), ("kind", np.int32), ("n", np.int64)))
     del packed
     first = kinds < 2

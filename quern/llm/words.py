@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Words whose hashes a task keeps at most; the table starts anew beyond it.
-MOST_CACHED = 300_000
+MOST_CACHED = 200_000
 
 
 class HashCache(dict):
@@ -112,6 +114,21 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(shift, counts) + np.repeat(starts, counts)
 
 
+def trim() -> None:
+    """Gives freed memory back, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return out
+
+
 def with_columns(df: DataFrame, fields: dict[str, DataType], make: Callable[[], Callable[[pa.RecordBatch], list]], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with new columns, computed from whole Arrow batches.
 
@@ -128,4 +145,4 @@ def with_columns(df: DataFrame, fields: dict[str, DataType], make: Callable[[],
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *of(batch)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
