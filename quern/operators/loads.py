@@ -80,7 +80,7 @@ def rewrite_scope(text: str, names: dict[str, str], columns: list[str]) -> str:
 VERSION = ("version_started_at", "version_ended_at", "version_state", "load_run_id")
 
 
-def scd2(history: DataFrame | None, base: DataFrame, key: str, ctx: RunContext, hash_column: str = "row_hash", reopen: bool = False) -> DataFrame:
+def scd2(history: DataFrame | None, base: DataFrame, key: str, ctx: RunContext, hash_column: str = "row_hash", reopen: bool = False, version_key: str = "hist_key") -> DataFrame:
     """history after one run: changed and deleted versions are closed, changed and new ones opened.
 
     A key that was deleted and comes back stays closed unless reopen is set. A null
@@ -91,7 +91,7 @@ def scd2(history: DataFrame | None, base: DataFrame, key: str, ctx: RunContext,
 
     def opened(rows: DataFrame, state: str) -> DataFrame:
         return rows.select(
-            sk({key: F.col(key), "version_started_at": ts}).alias("hist_key"), *columns,
+            sk({key: F.col(key), "version_started_at": ts}).alias(version_key), *columns,
             ts.alias("version_started_at"), F.lit(None).cast("timestamp").alias("version_ended_at"), F.lit(state).alias("version_state"), run.alias("load_run_id"),
         )
 
@@ -104,7 +104,7 @@ def scd2(history: DataFrame | None, base: DataFrame, key: str, ctx: RunContext,
     deleted = is_open & F.col("_q_there").isNull()
     marked = j.withColumns({"_q_changed": changed, "_q_closed": changed | deleted})
     kept = marked.select(
-        "hist_key", *columns, "version_started_at",
+        version_key, *columns, "version_started_at",
         F.when(F.col("_q_closed"), ts).otherwise(F.col("version_ended_at")).alias("version_ended_at"),
         F.when(F.col("_q_changed"), "changed").when(F.col("_q_closed"), "deleted").otherwise(F.col("version_state")).alias("version_state"),
         F.when(F.col("_q_closed"), run).otherwise(F.col("load_run_id")).alias("load_run_id"),
@@ -180,7 +180,7 @@ def load(dataset: Dataset, df: DataFrame, ctx: RunContext, table: str | None = N
     elif mode == "append":
         df.write.mode("append").saveAsTable(table)
     elif mode == "historize":
-        swap_table(scd2(spark.table(table) if there else None, df, dataset.keys[0], ctx), table)
+        swap_table(scd2(spark.table(table) if there else None, df, dataset.keys[0], ctx, version_key=f"{dataset.name}_key"), table)
     elif mode == "merge" and there:
         target = spark.table(table)
         if dataset.detect_deletes and dataset.scope:
