@@ -156,13 +156,23 @@ def plan_load(dataset: Dataset) -> str:
     return mode
 
 
+def restored(spark: SparkSession, name: str) -> bool:
+    """Whether the table exists, once a swap that failed between its renames is undone."""
+    if spark.catalog.tableExists(name):
+        return True
+    if not spark.catalog.tableExists(f"{name}__old"):
+        return False
+    spark.sql(f"alter table {name}__old rename to {name}")
+    return True
+
+
 def swap_table(df: DataFrame, name: str) -> None:
     """Writes df beside the table and puts it in its place; the old one goes last, so a failure loses nothing."""
     spark: SparkSession = df.sparkSession
     fresh, old = f"{name}__new", f"{name}__old"
+    there = restored(spark, name)
     spark.sql(f"drop table if exists {fresh}")
     df.write.saveAsTable(fresh)
-    there = spark.catalog.tableExists(name)
     spark.sql(f"drop table if exists {old}")
     if there:
         spark.sql(f"alter table {name} rename to {old}")
@@ -174,7 +184,7 @@ def load(dataset: Dataset, df: DataFrame, ctx: RunContext, table: str | None = N
     """Materializes df as the dataset by its load mode; the mode used."""
     spark, table = df.sparkSession, table or dataset.name
     mode = plan_load(dataset)
-    there = mode != "view" and spark.catalog.tableExists(table)
+    there = mode != "view" and restored(spark, table)
     if mode == "view":
         df.createOrReplaceTempView(table)
     elif mode == "append":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.operators.loads import merge, swap_table
+from quern.operators.loads import merge, restored, swap_table
 
 
 def latest(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -21,7 +21,7 @@ def merge_stream(spark: SparkSession, path: str, schema: StructType, table: str,
 
     def apply(batch: DataFrame, _: int) -> None:
         rows = latest(batch, keys, order)
-        there = spark.catalog.tableExists(table)
+        there = restored(spark, table)
         swap_table(merge(spark.table(table), rows, keys, check=False) if there else rows, table)
 
     stream = spark.readStream.schema(schema).parquet(path)

@@ -109,6 +109,15 @@ def test_history(spark):
     assert loads.scd2(second, back, "k", later, reopen=True).where("k = 'c'").count() == 2
 
 
+def test_swap_that_failed_between_its_renames(spark):
+    core = Dataset("t_torn", "rawcore", (Column("k", "INTEGER", "key"), Column("v")), ("s",))
+    spark.sql("drop table if exists t_torn")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.mode("overwrite").saveAsTable("t_torn__old")
+    loads.load(core, spark.createDataFrame([(2, "c")], "k int, v string"), CTX)
+    assert rows(spark.table("t_torn"), "k", "v") == [(1, "a"), (2, "c")]
+    assert not spark.catalog.tableExists("t_torn__old")
+
+
 def test_load_modes_and_swap(spark):
     core = Dataset("rc_t", "rawcore", (Column("k", "INTEGER", "key"), Column("v")), ("stg_t",))
     assert [loads.plan_load(Dataset("x", layer)) for layer in ("raw", "stage", "rawcore", "bizcore", "serving")] == ["full", "view", "full", "full", "view"]
