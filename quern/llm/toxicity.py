@@ -10,11 +10,13 @@ the whole text and over its most toxic passages of a few words, through a logist
 curve.
 
 The counts cover every labelled training document. They are summed in Spark by
-four-letter code, of 20 bits, and for words by the cells of a count-min sketch, so
-what is collected and what is broadcast (2 MB for the letters, one half-precision
-number a code, and 8 MB for the words) have a size that does not depend on the
-input. The curve is fitted on about ``max_curve`` labelled training documents, which a
-first model did not count.
+four-letter code, of 20 bits, and for words by the 64-bit hash of the word: each
+distinct word keeps its own exact count, so the word counts grow with the input. They
+pass through the driver in parts of ``PART`` words, each broadcast by itself. A task
+reads one part after the other and keeps only the counts of the words of its present
+texts, so no process holds all of them. The letters take 2 MB, one half-precision
+number a code. The curve is fitted on about ``max_curve`` labelled training documents,
+which a first model did not count.
 
 Only the text is an input of a score. Training labels are taken from rows that are
 not held out; a document of several labels counts once for each. Null texts are
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +46,21 @@ LETTERS = 1 << BITS
 CODES = 1 << (BITS * ORDER)
 #: Words in a passage.
 PASSAGES = (1, 4, 24)
-#: Rows and columns of the sketch of word counts. Its cells are numbered after the codes.
-ROWS, CELLS = 2, 1 << 19
+#: Kinds of counted documents: ordinary, toxic, and the same among those that fit the curve. The words' rows have kind + KINDS.
+KINDS = 4
+#: Words in a broadcast part of the counts, of 24 bytes each.
+PART = 1 << 20
 THRESHOLD = 0.7
 #: Nats a letter that the letters of a word take, about.
 LETTER_RATE = 2.2
 FEATURES = 2 * (len(PASSAGES) + 1) + 1
 #: Rows of labels up to which they are broadcast: 16 bytes each.
 MOST_BROADCAST = 2_000_000
-#: Words whose differences a task keeps at most.
+#: Words whose counts or differences a task keeps, about.
 MOST_CACHED = 100_000
-#: Bytes of text that a task takes at once.
-SLICE = 2 << 20
+MOST_KNOWN = 400_000
+#: Bytes of text that a task takes at once, and for which it reads the parts of the counts once.
+SLICE, GROUP = 2 << 20, 32 << 20
 
 
 def alphabet() -> np.ndarray:
@@ -85,7 +91,7 @@ def coded(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, kind) to (code, kind, n), summed within the task."""
+    """(text, kind) to (code, kind, n), summed within the task; of words the hash, with kind + KINDS."""
     table, words = alphabet(), {}
 
     def flushed():
@@ -97,12 +103,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = np.repeat(n, np.diff(np.append(starts, len(code))))
             found, inverse = np.unique(code, return_inverse=True)
             total = np.bincount(inverse, each).astype(np.int64)
-            for row in cells(list(counts)):
-                at, inverse = np.unique(row, return_inverse=True)
-                found, total = np.append(found, CODES + at), np.append(total, np.bincount(inverse, n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), kind, np.int32)), pa.array(total)], names=["code", "kind", "n"]
-            )
+            for key, kinds, sums in ((found, kind, total), (hashes(list(counts)).view(np.int64), kind + KINDS, n)):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), kinds, np.int32)), pa.array(sums)], names=["code", "kind", "n"])
         words.clear()
 
     for batch in (x for whole in batches for x in slices(whole, "text", SLICE)):
@@ -117,7 +119,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch of counts as one row, which a driver gathers in little memory."""
     for b in batches:
         if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], names=["code", "kind", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], names=b.schema.names)
 
 
 #: ASCII that is neither letter nor digit parts words.
@@ -128,28 +130,66 @@ def plain_words(text: str | None) -> list[str]:
     return (text or "").lower().translate(PARTED).split()
 
 
-def cells(words: list[str]) -> np.ndarray:
-    """The cell of each word in each row of the sketch."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    return np.stack([(h >> np.uint64(32 * r)).astype(np.int64) % CELLS + r * CELLS for r in range(ROWS)])
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+class WordCounts:
+    """The counts of all words by kind, in broadcast parts, and of each kind their sum."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.parts, self.waiting, self.size = spark, [], [], 0
+        self.totals, self.distinct = np.zeros(KINDS), np.zeros((2, 2))
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        """Words not added before, by hash, with a row of counts for each kind."""
+        self.totals += n.sum(1)
+        self.distinct += [(chosen(n, early) > 0).sum(1) for early in (False, True)]
+        self.waiting.append((key, n.astype(np.float32)))
+        self.size += len(key)
+        if self.size >= PART:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.size:
+            key, n = np.concatenate([k for k, _ in self.waiting]), np.hstack([n for _, n in self.waiting])
+            order = np.argsort(key)
+            self.parts.append(self.spark.sparkContext.broadcast((key[order], n[:, order])))
+        self.waiting, self.size = [], 0
+
+
+def chosen(n: np.ndarray, early: bool) -> np.ndarray:
+    """The counts of ordinary and of toxic documents: of all, or of those only that do not fit the curve."""
+    return n[:2] if early else n[:2] + n[2:]
+
+
+def counts_of(words: list[str], parts: list, early: bool = False) -> np.ndarray:
+    """The exact count of each word in ordinary and in toxic documents."""
+    h = hashes(words)
+    order = np.argsort(h)
+    sought, out = h[order], np.zeros((2, len(words)))
+    for part in parts:
+        key, n = part.value
+        at = np.searchsorted(key, sought)
+        at[at == len(key)] = 0
+        hit = key[at] == sought
+        out[:, order[hit]] = chosen(n[:, at[hit]], early)
+        if part._path is not None:  # read from its file again when next used
+            part.__dict__.pop("_value", None)
+        del key, n
+    return out
 
 
 class Model:
-    """For each code the difference of log-likelihoods of its last letter, toxic less ordinary, and both classes' word counts."""
+    """For each code the difference of log-likelihoods of its last letter, toxic less ordinary, and what all word counts come to."""
 
-    def __init__(self, code: np.ndarray, toxic: np.ndarray, n: np.ndarray):
+    def __init__(self, letters: np.ndarray, totals: np.ndarray, distinct: np.ndarray):
+        """letters: a row of counts by code for the ordinary and for the toxic documents."""
         self.table = np.zeros(CODES, np.float16)
-        self.words = np.zeros((2, ROWS * CELLS), np.float32)
-        for y in (1, 0):
-            at = (toxic == y) & (code >= CODES)
-            np.add.at(self.words[y], code[at] - CODES, n[at])
-        self.totals = self.words[:, :CELLS].sum(1, dtype=float)
-        kinds = (self.words[:, :CELLS] > 0).sum(1)
+        self.totals = totals
         #: the share of probability that unseen words have
-        self.saved = DISCOUNT * kinds / np.maximum(self.totals, 1)
-        letters = code < CODES
-        code, toxic, n = code[letters], toxic[letters], n[letters]
-        both = [_grouped(code[toxic == y], n[toxic == y]) for y in (1, 0)]
+        self.saved = DISCOUNT * distinct / np.maximum(self.totals, 1)
+        both = [(at := np.flatnonzero(letters[y]), letters[y][at]) for y in (1, 0)]
         self.trained = all(len(c) > 0 for c, _ in both)
         if not self.trained:
             return
@@ -181,11 +221,6 @@ class Model:
             self.table[start : start + block] = logs[0] - logs[1]
 
 
-def _grouped(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, inverse = np.unique(code, return_inverse=True)
-    return found, np.bincount(inverse, n, len(found))
-
-
 def _continued(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The last ``order`` letters of distinct codes, and before how many letters each stands."""
     return np.unique(codes & (LETTERS**order - 1), return_counts=True)
@@ -208,42 +243,47 @@ def _interpolated(counts: np.ndarray, lower: np.ndarray, start: int = 0) -> np.n
     return np.where(total > 0, p, base).ravel().astype(np.float32)
 
 
+class Places(dict):
+    """Word to its place, in the order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Reader:
     """Texts to features, with the differences of words kept for the task."""
 
-    def __init__(self, model: Model):
-        self.model, self.letters = model, alphabet()
-        self.known: dict[str, int] = {}
-        self.values = np.zeros((0, 2))
-
-    def learn(self, words: set[str]) -> None:
-        """Makes sure that self.known has the places in self.values of all words."""
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-            self.values = np.zeros((0, 2))
-        new = [w for w in words if w not in self.known]
+    def __init__(self, model: Model, parts: list, early: bool = False):
+        self.model, self.parts, self.early, self.letters = model, parts, early, alphabet()
+        self.known, self.values = Places(), np.zeros((0, 2))
+
+    def learn(self) -> None:
+        """Makes sure that self.values has the differences of all words of self.known."""
+        new = list(islice(self.known, len(self.values), None))
         if not new:
             return
+        counts = counts_of(new, self.parts, self.early)
+        step = MOST_CACHED
+        self.values = np.vstack([self.values, *(self.differences(new[i : i + step], counts[:, i : i + step]) for i in range(0, len(new), step))])
+
+    def differences(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         m = self.model
-        code, starts = coded(new, self.letters)
+        code, starts = coded(words, self.letters)
         spelled = np.add.reduceat(m.table[code].astype(np.float64), starts)
-        counts = m.words[:, cells(new)].min(1)
         # a word's letters weigh as much as LETTER_RATE a letter in the ordinary class, and by their difference in the toxic one
         base = np.exp(-LETTER_RATE * np.minimum(np.diff(np.append(starts, len(code))), 40))
         p = [np.maximum(counts[y] - DISCOUNT, 0) / max(m.totals[y], 1) + m.saved[y] * base * (np.exp(np.clip(spelled, -20, 20)) if y else 1.0) for y in (0, 1)]
         whole = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300)) if m.trained else spelled
-        self.known.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
-        self.values = np.vstack([self.values, np.stack([spelled, whole], 1)])
+        return np.stack([spelled, whole], 1)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts: list[np.ndarray]) -> np.ndarray:
         """For either model the mean over all words and the highest means over passages; the log of the length."""
         out = np.zeros((len(texts), FEATURES))
-        lists = [plain_words(t) for t in texts]
-        self.learn(set().union(*lists))
-        for i, words in enumerate(lists):
-            if not words:
+        for i, places in enumerate(texts):
+            if not len(places):
                 continue
-            d = self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+            d = self.values[places]
             upto = np.vstack([np.zeros((1, 2)), np.cumsum(d, 0)])
             values = [upto[-1] / len(d)]
             for width in PASSAGES:
@@ -253,8 +293,45 @@ class Reader:
         return out
 
     def over(self, batch: pa.RecordBatch) -> np.ndarray:
-        parts = [self.features(part.column("text").to_pylist()) for part in slices(batch, "text", SLICE)]
-        return np.vstack([np.zeros((0, FEATURES)), *parts])
+        parts, texts, size = [np.zeros((0, FEATURES))], [], 0
+
+        def flush():
+            self.learn()
+            parts.append(self.features(texts))
+            texts.clear()
+            if len(self.known) > MOST_KNOWN:
+                self.known.clear()
+                self.values = np.zeros((0, 2))
+
+        for part in slices(batch, "text", SLICE):
+            for text in part.column("text").to_pylist():
+                words = plain_words(text)
+                texts.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
+            size += SLICE
+            if size >= GROUP or len(self.known) > MOST_KNOWN:
+                flush()
+                size = 0
+        flush()
+        return np.vstack(parts)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of GROUP bytes or more, for which the parts of the counts are read."""
+    waiting, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return waiting[0] if len(waiting) == 1 else pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= GROUP:
+            yield joined()
+            waiting, size = [], 0
+    if waiting:
+        yield joined()
 
 
 class Curve:
@@ -281,7 +358,7 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self.scaled(x) @ self.w, -50, 50)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Model, Curve]:
+def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Model, list, Curve]:
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     few = marked.count() <= MOST_BROADCAST
@@ -289,29 +366,35 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
     rows = plain.join(F.broadcast(marked) if few else marked, "doc_id")
     later = F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string"))) % 4 == 0
     kind = F.col("toxic") + 2 * later.cast("int")
-    counted = rows.select("text", kind.alias("kind")).mapInArrow(trimmed(_counted), "code int, kind int, n long")
-    sums = counted.groupBy("code", "kind").agg(F.sum("n").alias("n"))
-    packed = sums.mapInArrow(trimmed(_packed), "code binary, kind binary, n binary").collect()
-    code, kinds, n = (np.frombuffer(b"".join(r[c] for r in packed), kind).astype(np.int64) for c, kind in (("code", np.int32), ("kind", np.int32), ("n", np.int64)))
-    del packed
-    first = kinds < 2
-    early = spark.sparkContext.broadcast(Model(code[first], kinds[first] % 2, n[first]))
+    counted = rows.select("text", kind.alias("kind")).mapInArrow(trimmed(_counted), "code long, kind int, n long")
+    each = [F.sum(F.when(F.col("kind") % KINDS == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(KINDS)]
+    sums = counted.groupBy("code", (F.col("kind") >= KINDS).alias("word")).agg(*each)
+    packed = sums.mapInArrow(trimmed(_packed), ", ".join(f"{c} binary" for c in sums.columns))
+    letters, words = np.zeros((KINDS, CODES)), WordCounts(spark)
+    for row in packed.toLocalIterator(prefetchPartitions=True):
+        code, word = np.frombuffer(row["code"], np.int64), np.frombuffer(row["word"], bool)
+        n = np.stack([np.frombuffer(row[f"n{k}"], np.int64) for k in range(KINDS)])
+        letters[:, code[~word]] += n[:, ~word]
+        words.add(code[word].view(np.uint64), n[:, word])
+    words.flush()
+    early, model = (Model(chosen(letters, x), chosen(words.totals, x), words.distinct[int(x)]) for x in (True, False))
+    early = spark.sparkContext.broadcast(early)
     held = rows.where(later)
     least = min(1.0, 1.3 * max_curve / max(1, held.select("doc_id").count()))
     held = held.withColumn("order", F.xxhash64("doc_id"))
     if least < 1:  # those of the smallest hash
         held = held.where(F.col("order") < F.lit(int(-(1 << 63) + least * (1 << 64))))
-    scored = _with_features(held, early).select("features", "toxic").limit(2 * max_curve).collect()
+    scored = _with_features(held, early, words.parts).select("features", "toxic").limit(2 * max_curve).collect()
     x = np.array([r["features"] for r in scored]).reshape(len(scored), FEATURES)
     curve = Curve(x, np.array([r["toxic"] for r in scored], float))
     early.destroy()
     del early
-    return Model(code, kinds % 2, n), curve
+    return model, words.parts, curve
 
 
-def _with_features(df: DataFrame, shared) -> DataFrame:
+def _with_features(df: DataFrame, shared, parts: list) -> DataFrame:
     def make():
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, parts, early=True)
 
         def of(batch: pa.RecordBatch) -> list:
             x = reader.over(batch)
@@ -319,16 +402,16 @@ def _with_features(df: DataFrame, shared) -> DataFrame:
 
         return of
 
-    return with_columns(df, {"features": ArrayType(DoubleType())}, make)
+    return with_columns(df, {"features": ArrayType(DoubleType())}, make, regroup=_merged)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs with score, from 0 to 1, and predicted, 1 where the score reaches threshold."""
-    model, curve = train(docs, labels, **options)
+    model, parts, curve = train(docs, labels, **options)
     shared, trained = docs.sparkSession.sparkContext.broadcast(model), model.trained
 
     def make():
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, parts)
 
         def of(batch: pa.RecordBatch) -> list:
             x = reader.over(batch)
@@ -337,7 +420,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
         return of
 
-    return with_columns(docs, {"score": DoubleType(), "predicted": IntegerType()}, make)
+    return with_columns(docs, {"score": DoubleType(), "predicted": IntegerType()}, make, regroup=_merged)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,11 +129,18 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return out
 
 
-def with_columns(df: DataFrame, fields: dict[str, DataType], make: Callable[[], Callable[[pa.RecordBatch], list]], drop: tuple[str, ...] = ()) -> DataFrame:
+def with_columns(
+    df: DataFrame,
+    fields: dict[str, DataType],
+    make: Callable[[], Callable[[pa.RecordBatch], list]],
+    drop: tuple[str, ...] = (),
+    regroup: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter,
+) -> DataFrame:
     """df with new columns, computed from whole Arrow batches.
 
     make() is called once in each task and gives the function from a batch to the
-    new columns. Columns of df named like a new one, or in drop, go.
+    new columns. Columns of df named like a new one, or in drop, go. regroup joins or
+    parts batches before that.
     """
     gone = {x.lower() for x in (*fields, *drop)}
     kept = [f.name for f in df.schema.fields if f.name.lower() not in gone]
@@ -142,7 +149,7 @@ def with_columns(df: DataFrame, fields: dict[str, DataType], make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
+        for batch in regroup(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *of(batch)], names=names)
 
     return df.mapInArrow(trimmed(run), schema)
