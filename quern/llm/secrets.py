@@ -3,7 +3,8 @@
 Native: every step is a DataFrame expression.
 
 Base spans come from three patterns. The battery looks at each further run of
-token letters: it infers the encoding (decimal, hex, base32, base64), then asks
+token letters, which padding ("=") can only end, so that of name=value both sides are
+runs of their own: it infers the encoding (decimal, hex, base32, base64), then asks
 whether the run could be uniform noise in that alphabet, by chi-squared tests of
 the symbols and of the letter classes, a runs test about the middle of the
 alphabet and a lag-1 serial correlation. The four p-values combine by the
@@ -106,7 +107,8 @@ def battery(token: Column) -> Column:
 def _scanned(docs: DataFrame, min_token: int) -> DataFrame:
     """docs with _q_base and _q_tokens: the base spans, and the further runs with their tests."""
     df = docs.withColumn("_q_text", text_of(docs))
-    token = r"[A-Za-z0-9+/_=-]{%d,}" % min_token
+    # the lookahead skips short runs early; of name=value it lets short names match, which go below
+    token = r"(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]+=*" % min_token
     df = matched(
         df,
         {"assign": (ASSIGN, None), "access": (ACCESS, F.contains("_q_text", F.lit("AKIA"))), "hex": (HEX, None), "token": (token, None)},
@@ -116,7 +118,8 @@ def _scanned(docs: DataFrame, min_token: int) -> DataFrame:
     access = F.filter("_q_access", lambda s: F.length(s["hit"]) >= 20)
     base = F.concat(labelled(assign, "assign", 0), labelled(access, "access", 1), labelled(F.col("_q_hex"), "hex", 2))
     df = df.withColumn("_q_base", F.array_sort(base))
-    fresh = F.filter("_q_token", lambda t: ~F.exists("_q_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    long = F.filter("_q_token", lambda t: F.length(t["hit"]) >= min_token)
+    fresh = F.filter(long, lambda t: ~F.exists("_q_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     tested = F.transform(
         fresh,
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("hit"), battery(t["hit"]).alias("test")),

@@ -1,10 +1,11 @@
 """What an operator must not lose as its input grows or its values stand elsewhere."""
 
+import random
 import string
 
 import numpy as np
 
-from quern.llm import toxicity
+from quern.llm import secrets, toxicity
 
 
 def test_word_counts_stay_exact(spark):
@@ -24,3 +25,22 @@ def test_word_counts_stay_exact(spark):
     assert not toxicity.counts_of([word(i, "z") for i in range(5000)], parts).any()
     n = [sum(d % 2 == y for d in learned) for y in (0, 1)]
     assert toxicity.counts_of(["both", "toxic1"], parts).tolist() == [[2 * n[0], 0], [2 * n[1], n[1]]]
+
+
+def test_secret_after_a_name(spark):
+    """name=value: the value is tested by itself, whatever its name."""
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits + "+/"
+    names = ["AWS_SECRET_ACCESS_KEY=", "sig=", "auth=", "session_id=", "a=b&signature_of_this_request=", ""]
+    values = ["".join(rng.choices(letters, k=43)) + "=" for _ in range(300)]
+    rows = [(i, f"see {names[i % len(names)]}{v} there", v) for i, v in enumerate(values)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, value string")).collect()
+    found = {n: [[s["hit"] for s in r["secrets"]] == [r["value"]] for r in got if names[r["doc_id"] % len(names)] == n] for n in names}
+    assert all(sum(x) >= 0.8 * len(x) for x in found.values()), {k: sum(x) for k, x in found.items()}
+
+
+def test_padding_counts_towards_the_length(spark):
+    rng = random.Random(6)
+    rows = [(i, "a " + "".join(rng.choices(string.ascii_letters + string.digits, k=18)) + "== b") for i in range(200)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(len(r["secrets"]) == 1 and len(r["secrets"][0]["hit"]) == 20 for r in got) >= 140
