@@ -189,9 +189,9 @@ def _predict(tree, values: np.ndarray) -> np.ndarray:
 def judge_urls(pages: DataFrame, rules=RULES, max_train: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """pages with host, path, rule, verdict and score.
 
-    URLs that a rule fits are the labelled ones. ``max_train`` of them, those of
-    the smallest hash of the URL, train the trees, which judge the URLs that no
-    rule fits.
+    URLs that a rule fits are the labelled ones. ``max_train`` distinct ones of them,
+    those of the smallest hash of the URL, train the trees, which judge the URLs that
+    no rule fits. Copies of a URL count once.
     """
     url = F.col("url").cast("string")
     df = pages.withColumns({f"_q_{k}": v for k, v in parsed(url).items()})
@@ -200,11 +200,13 @@ def judge_urls(pages: DataFrame, rules=RULES, max_train: int = 20_000, threshold
     y = (F.col("_q_rule.verdict") == "block").cast("double")
     train = (
         df.where(F.col("_q_rule").isNotNull())
-        .select(F.xxhash64(url).alias("_q_order"), url.alias("_q_url"), y.alias("y"), *[v.alias(k) for k, v in features.items()])
-        .orderBy("_q_order", "_q_url")
+        .select(url.alias("_q_url"), "_q_host", "_q_path", y.alias("y"))
+        .distinct()
+        .orderBy(F.xxhash64("_q_url"), "_q_url")
         .limit(max_train)
     )
-    model = fit(train.collect())
+    named = lexical(F.col("_q_url"), F.col("_q_host"), F.col("_q_path"))
+    model = fit(train.select("y", *[v.alias(k) for k, v in named.items()]).collect())
     df = df.withColumns({f"_q_f_{k}": v for k, v in features.items()})
     df = df.withColumn("_q_score", model.score({k: F.col(f"_q_f_{k}") for k in features}))
     learned = F.when(F.col("_q_score") >= threshold, "block").otherwise("allow")

@@ -4,8 +4,9 @@ import random
 import string
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quern.llm import secrets, toxicity
+from quern.llm import secrets, toxicity, urls
 
 
 def test_word_counts_stay_exact(spark):
@@ -44,3 +45,17 @@ def test_padding_counts_towards_the_length(spark):
     rows = [(i, "a " + "".join(rng.choices(string.ascii_letters + string.digits, k=18)) + "== b") for i in range(200)]
     got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(len(r["secrets"]) == 1 and len(r["secrets"][0]["hit"]) == 20 for r in got) >= 140
+
+
+def test_copies_of_a_url_train_once(spark, monkeypatch):
+    """A hot URL, the first in the order of hashes, leaves room for the others."""
+    rows = [f"http://{'x.com/en' if i % 2 else 'x.org/fr/y.net/de'}/p{i}" for i in range(400)] + [f"http://y.net/de/p{i}" for i in range(400)]
+    pages = spark.createDataFrame([(u,) for u in rows], "url string")
+    ruled = pages.where("url rlike '://(x.com/en|y.net/de)/'")
+    hot = ruled.orderBy(F.xxhash64("url")).first()["url"]
+    pages = pages.union(spark.createDataFrame([(hot,)] * 3000, "url string"))
+    seen, fit = [], urls.fit
+    monkeypatch.setattr(urls, "fit", lambda rows: seen.extend(rows) or fit(rows))
+    out = urls.judge_urls(pages, max_train=500)
+    assert len(seen) == 500 and 150 < sum(r["y"] for r in seen) < 250
+    assert out.count() == 3800 and out.where("rule is null").count() == 200
