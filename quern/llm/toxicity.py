@@ -15,8 +15,9 @@ distinct word keeps its own exact count, so the word counts grow with the input.
 pass through the driver in parts of ``PART`` words, each broadcast by itself. A task
 reads one part after the other and keeps only the counts of the words of its present
 texts, so no process holds all of them. The letters take 2 MB, one half-precision
-number a code. The curve is fitted on about ``max_curve`` labelled training documents,
-which a first model did not count.
+number a code. The curve is fitted on at most about ``max_curve`` labelled training
+documents, half of either class where there are as many, which a first model did not
+count; each stands for as many of its class as were there for one drawn.
 
 Only the text is an input of a score. Training labels are taken from rows that are
 not held out; a document of several labels counts once for each. Null texts are
@@ -337,8 +338,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Curve:
     """Logistic regression with a ridge on standardised features, by Newton's steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
-        self.mean, self.spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    def __init__(self, x: np.ndarray, y: np.ndarray, sizes: dict[int, int], ridge: float = 1.0):
+        """sizes: how many rows of each class x and y were drawn from, for which those drawn stand."""
+        weight = np.array([sizes[v] / (y == v).sum() for v in y.tolist()])
+        self.mean, self.spread = np.zeros(x.shape[1]), np.ones(x.shape[1])
+        if len(x):
+            self.mean = np.average(x, 0, weight)
+            self.spread = np.sqrt(np.average((x - self.mean) ** 2, 0, weight)) + 1e-9
         self.w = np.zeros(x.shape[1] + 1)
         if len(set(y.tolist())) < 2:
             self.w[-1] = 50.0 if len(y) and y[0] else -50.0
@@ -348,8 +354,8 @@ class Curve:
         penalty[-1] = 1e-6
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            g = z.T @ (y - p) - penalty * self.w
-            self.w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), g)
+            g = z.T @ (weight * (y - p)) - penalty * self.w
+            self.w += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), g)
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([(x - self.mean) / self.spread, np.ones((len(x), 1))])
@@ -380,13 +386,17 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
     early, model = (Model(chosen(letters, x), chosen(words.totals, x), words.distinct[int(x)]) for x in (True, False))
     early = spark.sparkContext.broadcast(early)
     held = rows.where(later)
-    least = min(1.0, 1.3 * max_curve / max(1, held.select("doc_id").count()))
     held = held.withColumn("order", F.xxhash64("doc_id"))
-    if least < 1:  # those of the smallest hash
-        held = held.where(F.col("order") < F.lit(int(-(1 << 63) + least * (1 << 64))))
-    scored = _with_features(held, early, words.parts).select("features", "toxic").limit(2 * max_curve).collect()
+    sizes = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
+    drawn = F.lit(False)
+    for toxic, size in sizes.items():
+        least = min(1.0, 1.3 * max_curve / 2 / size)
+        # those of the smallest hash
+        smallest = F.col("order") < F.lit(int(-(1 << 63) + least * (1 << 64))) if least < 1 else F.lit(True)
+        drawn = drawn | ((F.col("toxic") == toxic) & smallest)
+    scored = _with_features(held.where(drawn), early, words.parts).select("features", "toxic").limit(2 * max_curve).collect()
     x = np.array([r["features"] for r in scored]).reshape(len(scored), FEATURES)
-    curve = Curve(x, np.array([r["toxic"] for r in scored], float))
+    curve = Curve(x, np.array([r["toxic"] for r in scored], float), sizes)
     early.destroy()
     del early
     return model, words.parts, curve

@@ -59,3 +59,14 @@ def test_copies_of_a_url_train_once(spark, monkeypatch):
     out = urls.judge_urls(pages, max_train=500)
     assert len(seen) == 500 and 150 < sum(r["y"] for r in seen) < 250
     assert out.count() == 3800 and out.where("rule is null").count() == 200
+
+
+def test_rare_toxic_documents_reach_the_curve(spark):
+    """Few documents of one class are all drawn for the curve."""
+    rng = random.Random(7)
+    plain, bad = ([f"{p}{w}" for w in ("lor", "tam", "rin", "sol", "ved", "kun")] for p in ("a", "x"))
+    rows = [(i, " ".join(rng.choices(plain, k=40) + (rng.choices(bad, k=10) if i % 50 == 0 else [])), int(i % 50 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    out = toxicity.score_toxicity(docs, docs.select("doc_id", "toxic"), max_curve=8).cache()
+    assert out.where("toxic = 1 and predicted = 1").count() >= 27
+    assert out.where("toxic = 0 and predicted = 1").count() <= 15
