@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,28 +17,63 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _local_dir: list[str] = []
+_paths: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can read, from the session.
 
-    Where the session names none (tests, local mode) a temporary folder of this
-    process serves, since there the driver and the executors are one machine.
+    Where the session names none, a temporary folder of this process serves in local
+    mode, since there the driver and the executors are one machine; it goes when the
+    process ends. On a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_dir:
-        _local_dir.append("file://" + tempfile.mkdtemp(prefix="quern-"))
+        folder = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_dir.append("file://" + folder)
     return _local_dir[0]
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's work tables."""
+    return f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a recoverable lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes work tables that nothing reads any more."""
+    for table in tables:
+        if (path := _paths.pop(table, None)) is not None:
+            _deleted(table.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all work tables of this application: call it once the results are written."""
+    _deleted(spark, work_dir(spark))
+
+
+def share_below(share: float) -> Column:
+    """A bound on a 64-bit hash, below which about this share of all hashes lies."""
+    return F.lit(int(min((1 << 63) - 1, -(1 << 63) + share * (1 << 64))))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -71,30 +109,51 @@ def span_text(spans: Column) -> Column:
     return F.array_join(parts, ",")
 
 
-def located(pieces: Column, hits: Column) -> Column:
-    """Spans (start, end, hit) of matches, from the text split at them and the matches.
+#: Items of an array that are scanned at once; see running().
+CHUNK = 256
 
-    Offsets are code points; both arrays stem from the same pattern, so piece i
-    precedes match i.
+
+def running(df: DataFrame, arrays: dict[str, Column], of: str) -> DataFrame:
+    """df with, by name, the running "sum", "max" or "min" of arrays of ints.
+
+    Spark's aggregate() copies an array for each item that it appends, so an array is
+    scanned in chunks, whose totals are scanned after that: work grows little faster
+    than the array. What a lambda reads is used twice or zipped, since Spark would else
+    move its expression into the lambda.
     """
-    step = F.arrays_zip(pieces.alias("piece"), hits.alias("hit"))
-    empty = F.expr("struct(0 as pos, cast(array() as array<struct<start:int,end:int,hit:string>>) as out)")
+    join = {"sum": lambda a, x: a + x, "max": F.greatest, "min": F.least}[of]
+    zero = F.lit({"sum": 0, "max": -(1 << 31), "min": (1 << 31) - 1}[of]).cast("int")
+    none = F.array().cast("array<int>")
+
+    def scan(xs: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("out"))
+        step = lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(join(a["at"], x))).alias("out"))
+        return F.aggregate(xs, start, step, lambda a: a["out"])
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out")))
+    def parts(v: Column) -> Column:
+        n = F.size(v)
+        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda j: F.slice(v, j * CHUNK + 1, CHUNK))
+        return F.when(n > CHUNK, F.transform(cut, scan)).when(n > 0, F.array(scan(v))).otherwise(F.array().cast("array<array<int>>"))
 
-    return F.aggregate(step, empty, add, lambda acc: acc["out"])
+    def shifted(local: Column, ends: Column) -> Column:
+        each = F.zip_with(local, F.slice(ends, F.lit(1), F.size(local)), lambda x, e: F.transform(x, lambda y: join(e, y)))
+        return F.when(F.size(local) > 1, F.flatten(each)).when(F.size(local) == 1, local[0]).otherwise(none)
 
+    df = df.withColumns({f"_r_values_{k}": v for k, v in arrays.items()})
+    df = df.withColumns({f"_r_parts_{k}": parts(F.col(f"_r_values_{k}")) for k in arrays})
+    totals = {k: F.transform(f"_r_parts_{k}", lambda x: F.element_at(x, -1)) for k in arrays}
+    df = df.withColumns({k: shifted(F.col(f"_r_parts_{k}"), F.concat(F.array(zero), scan(t))) for k, t in totals.items()})
+    return df.drop(*[f"_r_{x}_{k}" for k in arrays for x in ("values", "parts")])
 
-def matched(df: DataFrame, patterns: dict[str, tuple[str, Column | None]], text: str) -> DataFrame:
-    """Adds for each kind the array of its non-overlapping matches as _q_<kind>.
+
+def matched(df: DataFrame, patterns: dict[str, tuple[str, Column | None]], text: str, near: int = 0) -> DataFrame:
+    """Adds for each kind the array of its non-overlapping matches as _q_<kind>: (start, end, hit).
 
     patterns: kind to (pattern, a cheap test that a text can match or None). The
-    text is split only where the pattern was found. The projections stay apart,
-    as each result is used twice.
+    text is split only where the pattern was found; piece i precedes match i, so
+    offsets, in code points, are running sums of lengths. With near, a match also has
+    before and after: what stands next to it, so many letters at most, up to the next
+    match of its kind.
     """
     none = F.array().cast("array<string>")
     found = {}
@@ -105,8 +164,20 @@ def matched(df: DataFrame, patterns: dict[str, tuple[str, Column | None]], text:
     df = df.withColumns(
         {f"_q_cut_{k}": F.when(F.size(f"_q_hit_{k}") > 0, F.split(F.col(text), p, -1)).otherwise(none) for k, (p, _) in patterns.items()}
     )
-    df = df.withColumns({f"_q_{k}": located(F.col(f"_q_cut_{k}"), F.col(f"_q_hit_{k}")) for k in patterns})
-    return df.drop(*[f"_q_{x}_{k}" for k in patterns for x in ("hit", "cut")])
+    both = {k: (F.col(f"_q_hit_{k}"), F.col(f"_q_cut_{k}")) for k in patterns}
+    lengths = {f"_q_upto_{k}": F.zip_with(F.slice(cut, F.lit(1), F.size(hits)), hits, lambda c, h: F.length(c) + F.length(h)) for k, (hits, cut) in both.items()}
+    df = running(df, lengths, "sum")
+
+    def spans(hits: Column, cut: Column, upto: Column) -> Column:
+        out = F.zip_with(hits, upto, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+        if not near:
+            return out
+        left, right = (F.slice(cut, F.lit(i), F.size(hits)) for i in (1, 2))
+        beside = F.zip_with(left, right, lambda a, b: F.struct(F.substring(a, -near, near).alias("before"), F.substring(b, 1, near).alias("after")))
+        return F.zip_with(out, beside, lambda s, c: F.struct(*[s[x].alias(x) for x in ("start", "end", "hit")], *[c[x].alias(x) for x in ("before", "after")]))
+
+    df = df.withColumns({f"_q_{k}": spans(hits, cut, F.col(f"_q_upto_{k}")) for k, (hits, cut) in both.items()})
+    return df.drop(*[f"_q_{x}_{k}" for k in patterns for x in ("hit", "cut", "upto")])
 
 
 def labelled(spans: Column, kind: str, rank: int) -> Column:
@@ -117,17 +188,25 @@ def labelled(spans: Column, kind: str, rank: int) -> Column:
     )
 
 
-def redacted(text: Column, spans: Column, mark: str) -> Column:
-    """text with every span, sorted by start, replaced by mark; spans that overlap share one."""
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        joined = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
-        return (
-            F.when(s["end"] <= acc["pos"], acc)
-            .when(s["start"] < acc["pos"], F.struct(s["end"].alias("pos"), acc["out"].alias("out")))
-            .otherwise(F.struct(s["end"].alias("pos"), joined.alias("out")))
-        )
+def redacted(df: DataFrame, name: str, text: Column, spans: Column, mark: str) -> DataFrame:
+    """df with name: text with every span, sorted by start, replaced by mark; spans that overlap share one.
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, cut, rest))
+    The text is cut at every CHUNK spans, so that no cut scans all of it.
+    """
+    df = df.withColumns({"_q_whole": text, "_q_spans": spans})
+    df = running(df, {"_q_upto": F.transform("_q_spans", lambda s: s["end"])}, "max")
+    upto, at, n = F.col("_q_upto"), F.col("_q_spans"), F.size("_q_spans")
+    before = F.concat(F.array(F.lit(0)), F.slice(upto, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    df = df.withColumn("_q_gaps", F.when(n > 0, F.zip_with(before, at, lambda p, s: F.struct(p.alias("pos"), s["start"].alias("start")))))
+    n = F.coalesce(F.size("_q_gaps"), F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda j: F.slice("_q_gaps", j * CHUNK + 1, CHUNK))
+    far = lambda c: F.greatest(F.element_at(c, -1)["pos"], F.element_at(c, -1)["start"])
+    parts = F.transform(
+        chunks,
+        lambda c: F.struct(c.alias("gaps"), c[0]["pos"].alias("pos"), F.substring(F.col("_q_whole"), c[0]["pos"] + 1, far(c) - c[0]["pos"]).alias("part")),
+    )
+    cut = lambda p, g: F.when(g["start"] >= g["pos"], F.concat(F.substring(p["part"], g["pos"] - p["pos"] + 1, g["start"] - g["pos"]), F.lit(mark))).otherwise("")
+    joined = F.array_join(F.transform(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g: cut(p, g)), "")), "")
+    rest = F.substring(F.col("_q_whole"), F.element_at(upto, -1) + 1, F.length("_q_whole"))
+    df = df.withColumn(name, F.when(n <= 0, F.col("_q_whole")).otherwise(F.concat(joined, rest)))
+    return df.drop("_q_whole", "_q_spans", "_q_upto", "_q_gaps")

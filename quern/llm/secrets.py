@@ -4,7 +4,7 @@ Native: every step is a DataFrame expression.
 
 Base spans come from three patterns. The battery looks at each further run of
 token letters, which padding ("=") can only end, so that of name=value both sides are
-runs of their own: it infers the encoding (decimal, hex, base32, base64), then asks
+runs of their own, and, where slashes part a run, at each part by itself: it infers the encoding (decimal, hex, base32, base64), then asks
 whether the run could be uniform noise in that alphabet, by chi-squared tests of
 the symbols and of the letter classes, a runs test about the middle of the
 alphabet and a lag-1 serial correlation. The four p-values combine by the
@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, UPPER, documents, labelled, matched, redacted, replacing, span_text, text_of
+from quern.llm.common import LOWER, UPPER, documents, labelled, matched, redacted, replacing, running, span_text, text_of, work_table
 
 #: Fixed values of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -57,33 +57,53 @@ def _chi_tail(x: Column, df: int) -> Column:
     return _upper_tail((F.pow(x / float(df), F.lit(1 / 3)) - (1.0 - v)) / v**0.5)
 
 
+#: Letters of a token that are arrays at once.
+LETTERS = 1024
+
+
+def _sums(s: Column, alphabet: str) -> Column:
+    """Over the places of s's letters in the alphabet: total, squares, products of neighbours, changes of half, first and last."""
+    half, f = len(alphabet) / 2.0, ("total", "squares", "products", "turns", "first", "last")
+    zero = F.struct(*[F.lit(x).alias(k) for k, x in zip(f, (0.0, 0.0, 0.0, 0.0, -1.0, -1.0), strict=True)])
+
+    def add(a: Column, v: Column) -> Column:
+        new = a["last"] < 0
+        turned = F.when(new | ((a["last"] >= half) == (v >= half)), 0.0).otherwise(1.0)
+        values = (a["total"] + v, a["squares"] + v * v, a["products"] + F.when(new, 0.0).otherwise(a["last"] * v), a["turns"] + turned, F.when(new, v).otherwise(a["first"]), v)
+        return F.struct(*[x.alias(k) for k, x in zip(f, values, strict=True)])
+
+    places = lambda part: F.transform(F.split(part, ""), lambda c: F.position(c, F.lit(alphabet)).cast("double") - 1.0)
+    parts = F.filter(F.split(s, r"(?<=\G.{%d})" % LETTERS), lambda x: x != "")
+    return F.aggregate(parts, zero, lambda a, part: F.aggregate(places(part), a, add))
+
+
 def _tests(s: Column, alphabet: str, classes: tuple[int, int, int]) -> Column:
     """The combined p-value of s, all of whose letters are in the alphabet."""
-    a, n = len(alphabet), F.length(s).cast("double")
-    chars = F.split(s, "")
-    values = F.transform(chars, lambda c: F.position(c, F.lit(alphabet)).cast("double") - 1.0)
-    squares = F.aggregate(
-        F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0))
-    )
-    # the exact mean and variance of the statistic under noise, for short runs
-    x2 = squares * float(a) / n - n
-    p = [_upper_tail((x2 - (a - 1.0)) / F.sqrt(2.0 * (a - 1) * (n - 1) / n))]
-    upper, lower = F.length(F.regexp_replace(s, "[^A-Z]", "")), F.length(F.regexp_replace(s, "[^a-z]", ""))
-    counts = (upper, lower, n - upper - lower)
-    used = [(c, w / a) for c, w in zip(counts, classes, strict=True) if w]
-    if len(used) > 1:
-        x = reduce(lambda acc, y: acc + y, [F.pow(c - n * w, F.lit(2.0)) / (n * w) for c, w in used])
-        p.append(_chi_tail(x, len(used) - 1))
-    pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    half = a / 2.0
-    turns = F.aggregate(pairs, F.lit(0.0), lambda acc, q: acc + F.when((q["x"] >= half) != (q["y"] >= half), 1.0).otherwise(0.0))
-    p.append(2.0 * _upper_tail(F.abs(turns - (n - 1) / 2.0) / F.sqrt((n - 1) / 4.0)))
-    mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / n
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.pow(v - mean, F.lit(2.0)))
-    lag = F.aggregate(pairs, F.lit(0.0), lambda acc, q: acc + (q["x"] - mean) * (q["y"] - mean))
-    # all letters alike: no spread, which no noise has
-    p.append(F.when(spread > 0, 2.0 * _upper_tail(F.abs(lag / spread + 1.0 / n) * F.sqrt(n))).otherwise(0.0))
-    return F.least(F.lit(1.0), F.least(*p) * float(len(p)))
+    a = len(alphabet)
+    squares = F.aggregate(F.lit(list(alphabet)), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(s) - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
+    upper, lower = (F.length(s) - F.length(F.translate(s, x, "")) for x in (UPPER, LOWER))
+
+    def combined(t: Column) -> Column:
+        n = t["n"]
+        # the exact mean and variance of the statistic under noise, for short runs
+        x2 = t["squares"] * float(a) / n - n
+        p = [_upper_tail((x2 - (a - 1.0)) / F.sqrt(2.0 * (a - 1) * (n - 1) / n))]
+        counts = (t["upper"], t["lower"], n - t["upper"] - t["lower"])
+        used = [(c, w / a) for c, w in zip(counts, classes, strict=True) if w]
+        if len(used) > 1:
+            x = reduce(lambda acc, y: acc + y, [F.pow(c - n * w, F.lit(2.0)) / (n * w) for c, w in used])
+            p.append(_chi_tail(x, len(used) - 1))
+        p.append(2.0 * _upper_tail(F.abs(t["sums"]["turns"] - (n - 1) / 2.0) / F.sqrt((n - 1) / 4.0)))
+        total, mean = t["sums"]["total"], t["sums"]["total"] / n
+        spread = t["sums"]["squares"] - total * mean
+        lag = t["sums"]["products"] - mean * (total - t["sums"]["last"]) - mean * (total - t["sums"]["first"]) + (n - 1) * mean * mean
+        # all letters alike: no spread, which no noise has
+        p.append(F.when(spread > 1e-6, 2.0 * _upper_tail(F.abs(lag / spread + 1.0 / n) * F.sqrt(n))).otherwise(0.0))
+        return F.least(F.lit(1.0), F.least(*p) * float(len(p)))
+
+    known = F.struct(F.length(s).cast("double").alias("n"), squares.alias("squares"), upper.alias("upper"), lower.alias("lower"), _sums(s, alphabet).alias("sums"))
+    # a lambda, so that each count is made once
+    return F.transform(F.array(known), combined)[0]
 
 
 def battery(token: Column) -> Column:
@@ -105,27 +125,39 @@ def battery(token: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, min_token: int) -> DataFrame:
-    """docs with _q_base and _q_tokens: the base spans, and the further runs with their tests."""
+    """docs with _q_base and _q_tokens: the base spans, and the further runs, and their parts between slashes, with their tests."""
     df = docs.withColumn("_q_text", text_of(docs))
-    # the lookahead skips short runs early; of name=value it lets short names match, which go below
-    token = r"(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]+=*" % min_token
+    # a run begins where no run letter stands before; the lookahead skips short ones early, and of name=value lets short names match, which go below
+    token = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]+=*" % min_token
+    part = r"(?=[A-Za-z0-9+_=-]{%d})[A-Za-z0-9+_-]++=*+" % min_token
+    part = rf"(?<=/){part}|(?<![A-Za-z0-9+/_-]){part}(?=/)"
     df = matched(
         df,
-        {"assign": (ASSIGN, None), "access": (ACCESS, F.contains("_q_text", F.lit("AKIA"))), "hex": (HEX, None), "token": (token, None)},
+        {
+            "assign": (ASSIGN, None),
+            "access": (ACCESS, F.contains("_q_text", F.lit("AKIA"))),
+            "hex": (HEX, None),
+            "token": (token, None),
+            "part": (part, F.contains("_q_text", F.lit("/"))),
+        },
         "_q_text",
     )
     assign = F.filter("_q_assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 6)
     access = F.filter("_q_access", lambda s: F.length(s["hit"]) >= 20)
     base = F.concat(labelled(assign, "assign", 0), labelled(access, "access", 1), labelled(F.col("_q_hex"), "hex", 2))
     df = df.withColumn("_q_base", F.array_sort(base))
-    long = F.filter("_q_token", lambda t: F.length(t["hit"]) >= min_token)
-    fresh = F.filter(long, lambda t: ~F.exists("_q_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = F.transform(
-        fresh,
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("hit"), battery(t["hit"]).alias("test")),
-    )
-    df = df.withColumn("_q_tokens", tested)
-    return df.drop("_q_assign", "_q_access", "_q_hex", "_q_token")
+    long = [labelled(F.filter(f"_q_{k}", lambda t: F.length(t["hit"]) >= min_token), k, r) for k, r in (("token", 3), ("part", 4))]
+    df = df.withColumn("_q_all", F.when(F.size(long[0]) > 0, F.array_sort(F.concat("_q_base", *long))).otherwise(long[0]))
+    # a run is free if the base spans before it end before it, and the next begins after it
+    df = running(df, {"_q_ended": F.transform("_q_all", lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(0))}, "max")
+    far = F.lit((1 << 31) - 1)
+    df = running(df, {"_q_next": F.transform(F.reverse("_q_all"), lambda s: F.when(s["rank"] < 3, s["start"]).otherwise(far))}, "min")
+    beside = F.zip_with(F.col("_q_ended"), F.reverse("_q_next"), lambda e, n: F.struct(e.alias("ended"), n.alias("next")))
+    all_of = F.zip_with(F.col("_q_all"), beside, lambda s, b: F.struct(s.alias("s"), b.alias("b")))
+    free = F.filter(all_of, lambda x: (x["s"]["rank"] > 2) & (x["b"]["ended"] <= x["s"]["start"]) & (x["b"]["next"] >= x["s"]["end"]))
+    names = ("start", "rank", "end", "kind", "hit")
+    tested = F.transform(free, lambda x: F.struct(*[x["s"][n].alias(n) for n in names], battery(x["s"]["hit"]).alias("test")))
+    return df.withColumn("_q_tokens", tested).drop("_q_assign", "_q_access", "_q_hex", "_q_token", "_q_part", "_q_all", "_q_ended", "_q_next", "_q_text")
 
 
 def cuts(histogram: list[tuple[str, int, int, int]], fdr: float, least: float = 0.02) -> dict[tuple[str, int], float]:
@@ -144,13 +176,15 @@ def cuts(histogram: list[tuple[str, int, int, int]], fdr: float, least: float =
     return out
 
 
-def find_secrets(docs: DataFrame, fdr: float = 0.05, min_token: int = 20) -> DataFrame:
+def find_secrets(docs: DataFrame, fdr: float = 0.05, min_token: int = 20, with_text: bool = True) -> DataFrame:
     """docs with n_assign, n_access, n_hex, and secrets: array of (start, rank, end, kind, hit).
 
-    A first pass over all texts gathers the histogram, of at most encodings x
-    length classes x 51 rows; a second applies the cuts.
+    One pass over all texts finds the spans, tests the runs and writes both to the
+    shared folder; from there come the histogram, of at most encodings x length classes
+    x 51 rows, and the result. Without with_text the text is left out of both.
     """
     scanned = _scanned(docs, min_token)
+    scanned = work_table(scanned if with_text else scanned.drop("text"), "secrets-tested")
     test = F.explode("_q_tokens.test").alias("test")
     bins = scanned.select(test).groupBy("test.encoding", "test.size", F.floor(F.col("test.p") * BINS).cast("int").alias("bin")).count()
     found = cuts([tuple(r) for r in bins.collect()], fdr)
@@ -161,21 +195,26 @@ def find_secrets(docs: DataFrame, fdr: float = 0.05, min_token: int = 20) -> Dat
             out = out | ((t["test"]["encoding"] == encoding) & (t["test"]["size"] == size) & (t["test"]["p"] >= cut))
         return out
 
-    random = labelled(F.filter("_q_tokens", passes), "random", 3)
+    names = ("start", "rank", "end", "kind", "hit")
+    df = scanned.withColumn("_q_passed", F.transform(F.filter("_q_tokens", passes), lambda t: F.struct(*[t[n].alias(n) for n in names])))
+    # a part of a run that passed whole is no secret of its own
+    df = running(df, {"_q_covered": F.transform("_q_passed", lambda t: F.when(t["rank"] == 3, t["end"]).otherwise(0))}, "max")
+    own = F.filter(F.zip_with(F.col("_q_passed"), F.col("_q_covered"), lambda t, c: F.struct(t.alias("t"), c.alias("c"))), lambda x: (x["t"]["rank"] == 3) | (x["c"] <= x["t"]["start"]))
+    random = labelled(F.transform(own, lambda x: x["t"]), "random", 3)
     count = lambda kind: F.size(F.filter("_q_base", lambda s: s["kind"] == kind)).cast("long")
     out = replacing(
-        scanned,
+        df,
         {f"n_{k}": count(k) for k in KINDS[:3]}
         | {"base": F.col("_q_base"), "secrets": F.array_sort(F.concat("_q_base", random))},
     )
-    return out.drop("_q_text", "_q_base", "_q_tokens")
+    return out.drop("_q_base", "_q_tokens", "_q_passed", "_q_covered")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """docs, of the same columns, with every secret replaced by mark and n_chars counted anew."""
-    found = find_secrets(docs.withColumn("_q_row", F.struct("*")), **options)
-    text = redacted(text_of(found), F.col("secrets"), mark)
-    fresh = F.when(F.size("secrets") == 0, F.col("_q_row.text")).otherwise(text)
+    found = find_secrets(docs.select("text", F.struct("*").alias("_q_row")), with_text=False, **options)
+    found = redacted(found, "_q_cut", F.coalesce(F.col("_q_row.text").cast("string"), F.lit("")), F.col("secrets"), mark)
+    fresh = F.when(F.size("secrets") == 0, F.col("_q_row.text")).otherwise(F.col("_q_cut"))
     out = found.select("_q_row", fresh.alias("_q_new"))
     columns = []
     for c in docs.columns:
@@ -191,7 +230,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the secrets of every document."""
-    out = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    out = find_secrets(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans")
     )
