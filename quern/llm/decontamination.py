@@ -2,10 +2,15 @@
 
 Texts are lower-cased in A-Z and cut into words of letters and digits (every
 character beyond ASCII counts as a letter). A window is 13 consecutive words of a
-benchmark item, or all words of a shorter one. The windows of a bounded block of
-items are broadcast; a benchmark above the bound is scanned for in several blocks,
-one after the other, without a shuffle. Candidates agree in a rolling hash and are
-verified word by word. The spans or the documents can then be removed.
+benchmark item, or all words of a shorter one. A block of items of bounded size is
+broadcast as two arrays, the 64-bit hashes of its words and the sorted rolling hashes of its
+windows with their places, and a bitmap that rules most windows of documents out.
+Candidates agree in a rolling hash and are verified word by word, by the words' hashes.
+The spans or the documents can then be removed.
+
+A benchmark above the bound has several blocks. Each is a broadcast of its own; a task scans
+its texts, GROUP bytes at a time, with one block after the other and lets go of each
+before the next, so no process holds two. Nothing is shuffled.
 
 Null texts have no words; items without words have no windows. Items of one id are
 one item. A null item id is never reported, though its windows hit. Repeated rows get
@@ -16,126 +21,122 @@ tables give empty results or no hits.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
 from quern.llm.common import documents
-from quern.llm.words import mixed, rolled, texts_of, with_columns
+from quern.llm.words import HashCache, hashed_words, merged, mixed, ranges, rolled, slices, texts_of, with_columns
 
 LENGTH = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Bytes of benchmark text in a block, which bounds what is broadcast at once to a few times this.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in a block. A block takes about four times this.
+BLOCK_BYTES = 8 << 20
+#: Bytes of documents that are scanned with a block at once, and that are read at once.
+GROUP, SLICE = 32 << 20, 2 << 20
 #: Each byte to itself, in lower case, or to a blank if it is no part of a word.
 TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
 
-def normal_words(text: bytes) -> list[bytes]:
-    return text.translate(TABLE).split()
-
-
-class Windows:
-    """The windows of a block of items: by length, sorted hashes and word ids to check by."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], length: int):
-        self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[bytes, set]] = {}
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in normal_words(text)], np.int32)
-            n = min(length, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                by_length.setdefault(n, {}).setdefault(ids[i : i + n].tobytes(), set()).add(item)
-        self.exact = by_length
-        self.hashes = {}
-        for n, windows in by_length.items():
-            every = np.frombuffer(b"".join(windows), np.int32).reshape(-1, n)
-            self.hashes[n] = np.unique(np.array([mixed(rolled(row.astype(np.uint64), n))[0] for row in every], np.uint64))
-
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
-        """Number of words, spans of words hit, and items met."""
-        get = self.vocabulary.get
-        words = normal_words(text)
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        spans, items = [], set()
-        # a window cannot hold a word that no item has
-        unknown = np.append(0, np.cumsum(ids == 0))
-        for n, hashes in self.hashes.items():
-            if len(ids) < n:
-                continue
-            at = np.flatnonzero(unknown[n:] == unknown[:-n])
-            if len(at) == 0:
-                continue
-            h = mixed(rolled(ids.astype(np.uint64), n))[at]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in at[hashes[place] == h]:
-                met = self.exact[n].get(ids[i : i + n].tobytes())
-                if met is not None:
-                    spans.append((int(i), int(i) + n))
-                    items |= met
-        return len(words), spans, items
-
-
-def _scanner(shared):
-    def make():
-        windows: Windows = shared.value
-
-        def scan(batch: pa.RecordBatch) -> list:
-            before = batch.column("_q_spans").to_pylist()
-            met = batch.column("_q_items").to_pylist()
-            spans, items, counts = [], [], []
-            for text, s, m in zip(texts_of(batch), before, met, strict=True):
-                n, found, which = windows.scan(text)
-                spans.append((s or b"") + np.array(found, np.int32).tobytes())
-                items.append(sorted({*(m or ()), *(x for x in which if x is not None)}))
-                counts.append(n)
-            return [pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-
-        return scan
-
-    return make
-
-
-def _finish(share: int, cut: bool):
-    def make():
-        def finish(batch: pa.RecordBatch) -> list:
-            hits, flags, cleaned = [], [], []
-            texts = texts_of(batch) if cut else None
-            for i, (spans, n) in enumerate(zip(batch.column("_q_spans").to_pylist(), batch.column("n_words").to_pylist(), strict=True)):
-                mark = np.zeros(n + 1, np.int64)
-                pairs = np.frombuffer(spans, np.int32).reshape(-1, 2)
-                np.add.at(mark, pairs[:, 0], 1)
-                np.add.at(mark, pairs[:, 1], -1)
-                mask = np.cumsum(mark)[:-1] > 0
-                k = int(mask.sum())
-                hits.append(k)
-                flags.append(k > 0 and share * k >= n)
-                if cut:
-                    cleaned.append(_without(texts[i], mask) if k else texts[i])
-            out = [pa.array(hits, pa.int64()), pa.array(flags, pa.bool_())]
-            return [*out, pa.array(cleaned, pa.binary()).cast(pa.string())] if cut else out
-
-        return finish
-
-    return make
-
-
-def _both(scanner, finisher):
-    """The last scan and the sums over all scans in one pass."""
+def normal_words(texts: list[bytes], cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' normalised words, and the offset of each text and of the end."""
+    return hashed_words([t.translate(TABLE) for t in texts], cache)
+
+
+# A block is plain data, as it is broadcast: (words, starts, names, windows), where starts has the offset of each item's words,
+# names their ids, and windows, by length, (hashes, sorted; the offset of each one's words; bitmap).
+
+
+def packed(items: list[tuple[str | None, bytes]], length: int) -> tuple:
+    """The block of these items."""
+    words, starts = normal_words([t for _, t in items], HashCache())
+    size = np.diff(starts)
+    windows = {}
+    for n in np.unique(np.minimum(size, length)).tolist():
+        if n == 0:
+            continue
+        mine = np.flatnonzero(np.minimum(size, length) == n)
+        at = ranges(starts[mine], size[mine] - n + 1).astype(np.int32 if len(words) < 1 << 31 else np.int64)
+        h = mixed(rolled(words, n))[at]
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        bits = max(10, int(len(h)).bit_length() + 5)
+        low = h & np.uint64((1 << bits) - 1)
+        seen = np.zeros(1 << (bits - 3), np.uint8)
+        np.bitwise_or.at(seen, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
+        windows[n] = (h, at, seen)
+    return words, starts, [x for x, _ in items], windows
+
+
+def scan(block: tuple, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, item) of each pair of a window of texts, given by their words' hashes, and a window of the block.
+
+    item is the number of the block's item.
+    """
+    known, starts, _, windows = block
+    found = [(np.zeros(0, np.int64),) * 3]
+    for n, (hashes, offsets, seen) in windows.items():
+        h = mixed(rolled(words, n))
+        low = h & np.uint64(len(seen) * 8 - 1)
+        at = np.flatnonzero(seen[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+        # windows lie within one text
+        at = at[ends[np.searchsorted(ends, at, "right")] >= at + n]
+        first, last = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+        at, place = np.repeat(at, last - first), ranges(first, last - first)
+        here = offsets[place].astype(np.int64)
+        same = np.ones(len(at), bool)
+        for i in range(n):
+            same &= words[at + i] == known[here + i]
+        at, here = at[same], here[same]
+        found.append((at, np.full(len(at), n), np.searchsorted(starts, here, "right") - 1))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _scanner(blocks: list, share: int, cut: bool):
+    """Batches to n_words, n_hit, items and contaminated, and with cut the clean text."""
 
     def make():
-        scan, finish = scanner(), finisher()
+        cache = HashCache()
 
         def of(batch: pa.RecordBatch) -> list:
-            spans, items, counts = scan(batch)
-            found = pa.RecordBatch.from_arrays([batch.column("text"), spans, counts], names=["text", "_q_spans", "n_words"])
-            return [items, counts, *finish(found)]
+            parts = [normal_words(texts_of(part), cache) for part in slices(batch, "text", SLICE)]
+            met = [set() for _ in range(batch.num_rows)]
+            marks = [np.zeros(len(w) + 1, np.int64) for w, _ in parts]
+            for shared in blocks:
+                block, row = shared.value, 0
+                for (words, ends), mark in zip(parts, marks, strict=True):
+                    at, n, item = scan(block, words, ends)
+                    np.add.at(mark, at, 1)
+                    np.add.at(mark, at + n, -1)
+                    texts = np.searchsorted(ends, at, "right") - 1
+                    for pair in np.unique(np.stack([texts, item], 1), axis=0).tolist():
+                        if (name := block[2][pair[1]]) is not None:
+                            met[row + pair[0]].add(name)
+                    row += len(ends) - 1
+                if len(blocks) > 1 and shared._path is not None:  # read from its file again when next used
+                    shared.__dict__.pop("_value", None)
+                del block
+            counts, hits, masks = [], [], []
+            for (_, ends), mark in zip(parts, marks, strict=True):
+                hit = np.cumsum(mark)[:-1] > 0
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    counts.append(b - a)
+                    hits.append(int(hit[a:b].sum()))
+                    if cut:
+                        masks.append(hit[a:b])
+            flags = [k > 0 and share * k >= n for n, k in zip(counts, hits, strict=True)]
+            out = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(x) for x in met], pa.list_(pa.string())), pa.array(flags, pa.bool_())]
+            if cut:
+                clean = [_without(t, m) if k else t for t, m, k in zip(texts_of(batch), masks, hits, strict=True)]
+                out.append(pa.array(clean, pa.binary()).cast(pa.string()))
+            return out
 
         return of
 
@@ -161,20 +162,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENG
     """docs with n_words, n_hit, items (ids as sorted strings) and contaminated; with cut also clean_text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    items = items.distinct()
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    df = docs.withColumns({"_q_spans": F.lit(None).cast("binary"), "_q_items": F.lit(None).cast("array<string>")})
-    fields = {"_q_spans": BinaryType(), "_q_items": ArrayType(StringType()), "n_words": LongType()}
-    last = {"n_hit": LongType(), "contaminated": BooleanType()} | ({"clean_text": StringType()} if cut else {})
+    shared = []
     for b in range(blocks):
-        rows = items.where(block == b).collect()  # of bounded size
-        shared = spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["text"])) for r in rows], length))
-        if b < blocks - 1:
-            df = with_columns(df, fields, _scanner(shared))
-    kept = {k: v for k, v in fields.items() if k != "_q_spans"} | last
-    df = with_columns(df, kept, _both(_scanner(shared), _finish(share, cut)), ("_q_spans",))
-    return df.drop("items").withColumnRenamed("_q_items", "items")
+        rows = items.where(block == b).collect()  # about block_bytes, or one item
+        shared.append(spark.sparkContext.broadcast(packed([(r["item"], bytes(r["text"])) for r in rows], length)))
+    fields = {"n_words": LongType(), "n_hit": LongType(), "items": ArrayType(StringType()), "contaminated": BooleanType()}
+    fields |= {"clean_text": StringType()} if cut else {}
+    regroup = merged(GROUP) if blocks > 1 else iter
+    return with_columns(docs, fields, _scanner(shared, share, cut), regroup=regroup)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from quern.llm.common import documents, held_out, replacing
-from quern.llm.words import slices, trimmed, with_columns
+from quern.llm.words import merged, slices, trimmed, with_columns
 
 BITS, ORDER, DISCOUNT = 5, 4, 0.75
 LETTERS = 1 << BITS
@@ -222,6 +222,13 @@ class Model:
             self.table[start : start + block] = logs[0] - logs[1]
 
 
+def restored(data: dict) -> Model:
+    """A model from its plain data, as which it is broadcast: executors need not have this module."""
+    model = Model.__new__(Model)
+    vars(model).update(data)
+    return model
+
+
 def _continued(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The last ``order`` letters of distinct codes, and before how many letters each stands."""
     return np.unique(codes & (LETTERS**order - 1), return_counts=True)
@@ -316,25 +323,6 @@ class Reader:
         return np.vstack(parts)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of GROUP bytes or more, for which the parts of the counts are read."""
-    waiting, size = [], 0
-
-    def joined() -> pa.RecordBatch:
-        return waiting[0] if len(waiting) == 1 else pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        waiting.append(batch)
-        size += batch.nbytes
-        if size >= GROUP:
-            yield joined()
-            waiting, size = [], 0
-    if waiting:
-        yield joined()
-
-
 class Curve:
     """Logistic regression with a ridge on standardised features, by Newton's steps."""
 
@@ -384,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
         words.add(code[word].view(np.uint64), n[:, word])
     words.flush()
     early, model = (Model(chosen(letters, x), chosen(words.totals, x), words.distinct[int(x)]) for x in (True, False))
-    early = spark.sparkContext.broadcast(early)
+    early = spark.sparkContext.broadcast(vars(early))
     held = rows.where(later)
     held = held.withColumn("order", F.xxhash64("doc_id"))
     sizes = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
@@ -404,7 +392,7 @@ def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Mo
 
 def _with_features(df: DataFrame, shared, parts: list) -> DataFrame:
     def make():
-        reader = Reader(shared.value, parts, early=True)
+        reader = Reader(restored(shared.value), parts, early=True)
 
         def of(batch: pa.RecordBatch) -> list:
             x = reader.over(batch)
@@ -412,16 +400,16 @@ def _with_features(df: DataFrame, shared, parts: list) -> DataFrame:
 
         return of
 
-    return with_columns(df, {"features": ArrayType(DoubleType())}, make, regroup=_merged)
+    return with_columns(df, {"features": ArrayType(DoubleType())}, make, regroup=merged(GROUP))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs with score, from 0 to 1, and predicted, 1 where the score reaches threshold."""
     model, parts, curve = train(docs, labels, **options)
-    shared, trained = docs.sparkSession.sparkContext.broadcast(model), model.trained
+    shared, trained = docs.sparkSession.sparkContext.broadcast(vars(model)), model.trained
 
     def make():
-        reader = Reader(shared.value, parts)
+        reader = Reader(restored(shared.value), parts)
 
         def of(batch: pa.RecordBatch) -> list:
             x = reader.over(batch)
@@ -430,7 +418,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
         return of
 
-    return with_columns(docs, {"score": DoubleType(), "predicted": IntegerType()}, make, regroup=_merged)
+    return with_columns(docs, {"score": DoubleType(), "predicted": IntegerType()}, make, regroup=merged(GROUP))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

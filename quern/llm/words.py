@@ -114,6 +114,29 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(shift, counts) + np.repeat(starts, counts)
 
 
+def merged(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same rows in batches of about ``size`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, have = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            have += batch.nbytes
+            if have >= size:
+                yield joined(waiting)
+                waiting, have = [], 0
+        if waiting:
+            yield joined(waiting)
+
+    return run
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def trim() -> None:
     """Gives freed memory back, so that idle Python workers stay small."""
     pa.default_memory_pool().release_unused()

@@ -57,8 +57,8 @@ def test_urls_odd(spark):
 def test_trees_learn():
     rng = np.random.default_rng(1)
     rows = [{f: float(rng.random()) for f in urls.FEATURES[:-2]} | {"suffix": "s", "ending": ""} for _ in range(600)]
-    for r in rows:
-        r["y"] = float(r["digits"] > 0.5)
+    for i, r in enumerate(rows):
+        r["y"], r["fold"] = float(r["digits"] > 0.5), i
     model = urls.fit(rows)
     values = np.array([[0.5 if f in ("suffix", "ending") else r[f] for f in urls.FEATURES] for r in rows])
     margin = model.base + sum(urls._predict(t, values) for t in model.trees)
