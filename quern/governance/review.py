@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import asdict
 from datetime import datetime
 
-from quern.governance.evolution import decide, diff, fingerprint, state
+from quern.governance.evolution import diff, fingerprint, state
+from quern.governance.migration import action_of
 from quern.governance.validation import Step
 from quern.spec import Dataset
 
-#: What a decision asks of a migration.
-ACTIONS = {"add": "ADD", "drop": "DROP", "rename": "RENAME", "change": "ALTER_TYPE", "retire": "RETIRE", "unretire": "REACTIVATE"}
-
 
 def report(before: list[Dataset], after: list[Dataset], **policy: bool) -> dict:
-    """Each change with its action and decision, and the fingerprints of both states."""
-    found = [asdict(c) | {"action": f"{ACTIONS[c.kind]}_{'COLUMN' if c.column else 'DATASET'}", "decision": decide(c, **policy)} for c in diff(before, after)]
+    """Each change with its action, strategy and decision, and the fingerprints of both states."""
+    found = []
+    for c in diff(before, after):
+        a = action_of(c, **policy)
+        found.append(asdict(c) | {"action": a.action, "strategy": a.strategy, "decision": a.decision})
     counts: dict[str, int] = {}
     for c in found:
         counts[c["decision"]] = counts.get(c["decision"], 0) + 1

@@ -29,7 +29,7 @@ def check_tree(node, tables: Mapping[str, list[str]]) -> list[str]:
     if out:
         return out
     if isinstance(node, n.Scan):
-        return [] if node.table in tables else [f"no such table: {node.table}"]
+        return [] if node.table in tables or n.CALL.match(node.table) else [f"no such table: {node.table}"]
     try:
         n.contract(node, tables)
     except ValueError as e:
@@ -75,11 +75,15 @@ def _join(node: n.Join, tables) -> list[str]:
                 out.append(f"join i{i}: no such operator: {p.op}")
             elif not takes.get(op, isinstance(p.right, str)):
                 out.append(f"join i{i}: {op} does not take {p.right!r}")
+        if not out and (wrong := n.connected(e, i)):
+            out.append(wrong)
     return out
 
 
 def _aggregate(node: n.Aggregate, tables) -> list[str]:
-    columns = n.contract(node.input, tables)
+    columns = n.contract(n.with_inputs(node), tables)
+    if isinstance(node.input, n.Select):  # what a select leaves out must be there before it
+        columns = [c for c in columns if c in (node.input.columns or columns) or c in n.contract(node.input.input, tables)]
     out = _lacking("aggregate", node.keys, columns) + ([] if node.measures else ["aggregate: no measures"])
     for name, m in node.measures.items():
         function = m.function.upper()
@@ -163,7 +167,7 @@ def check_dataset(dataset: Dataset, datasets: list[Dataset]) -> list[str]:
         out.append(f"{name}: deletes need a scope")
     if mode == "historize" or name.endswith("_hist"):
         have = {c.name for c in dataset.columns}
-        lacks = [c for c in ("row_hash", "version_started_at", "version_ended_at", "version_state", "load_run_id") if c not in have]
+        lacks = [c for c in ("row_hash", "version_started_at", "version_ended_at", "version_state", "load_run_id", "loaded_at") if c not in have]
         out += [f"{name}: a history needs {c}" for c in lacks] + ([] if dataset.keys else [f"{name}: a history needs an entity key"])
     names = [c.name.lower() for c in dataset.columns]
     out += [f"{name}: column {c} repeats" for c in sorted({c for c in names if names.count(c) > 1})]

@@ -78,41 +78,59 @@ def rewrite_scope(text: str, names: dict[str, str], columns: list[str]) -> str:
 
 
 VERSION = ("version_started_at", "version_ended_at", "version_state", "load_run_id")
+#: What a history may hold besides; it says when a row was written.
+LOADED = "loaded_at"
 
 
-def scd2(history: DataFrame | None, base: DataFrame, key: str, ctx: RunContext, hash_column: str = "row_hash", reopen: bool = False, version_key: str = "hist_key") -> DataFrame:
+def scd2(
+    history: DataFrame | None, base: DataFrame, key: str, ctx: RunContext, hash_column: str = "row_hash", reopen: bool = False, version_key: str = "hist_key", pepper: str = "", check: bool = True, stamped: bool = False
+) -> DataFrame:
     """history after one run: changed and deleted versions are closed, changed and new ones opened.
 
     A key that was deleted and comes back stays closed unless reopen is set. A null
-    hash on either side means unchanged.
+    hash on either side means unchanged. A key that repeats in base is an error. With
+    stamped, or where the base has loaded_at, each version has the time it was written. One join of the versions with
+    the base gives both what is closed and what is opened.
     """
     ts, run = F.lit(ctx.ts), F.lit(ctx.run_id)
-    columns = base.columns
+    columns = [c for c in base.columns if c not in (*VERSION, LOADED)]
+    stamped = stamped or LOADED in base.columns
+    if check:
+        check_unique(base.where(F.col(key).isNotNull()), [key])
+    new_key = lambda k: sk({key: k, "version_started_at": ts}, pepper)
 
-    def opened(rows: DataFrame, state: str) -> DataFrame:
-        return rows.select(
-            sk({key: F.col(key), "version_started_at": ts}).alias(version_key), *columns,
-            ts.alias("version_started_at"), F.lit(None).cast("timestamp").alias("version_ended_at"), F.lit(state).alias("version_state"), run.alias("load_run_id"),
-        )
+    def opened(value, state: Column) -> list[Column]:
+        out = [new_key(value(key)).alias(version_key), *[value(c).alias(c) for c in columns]]
+        out += [ts.alias("version_started_at"), F.lit(None).cast("timestamp").alias("version_ended_at"), state.alias("version_state"), run.alias("load_run_id")]
+        return out + ([ts.alias(LOADED)] if stamped else [])
 
     if history is None:
-        return opened(base, "new")
-    now = base.select(F.col(key).alias("_q_key"), F.col(hash_column).alias("_q_hash"), F.lit(True).alias("_q_there"))
-    j = history.join(now, history[key] == now["_q_key"], "left")
-    is_open = F.col("version_ended_at").isNull()
-    changed = is_open & F.coalesce(F.col(hash_column) != F.col("_q_hash"), F.lit(False))
-    deleted = is_open & F.col("_q_there").isNull()
-    marked = j.withColumns({"_q_changed": changed, "_q_closed": changed | deleted})
-    kept = marked.select(
-        version_key, *columns, "version_started_at",
-        F.when(F.col("_q_closed"), ts).otherwise(F.col("version_ended_at")).alias("version_ended_at"),
-        F.when(F.col("_q_changed"), "changed").when(F.col("_q_closed"), "deleted").otherwise(F.col("version_state")).alias("version_state"),
-        F.when(F.col("_q_closed"), run).otherwise(F.col("load_run_id")).alias("load_run_id"),
-    )
-    again = marked.where("_q_changed").select(F.col(key)).distinct()
-    known = history.where(is_open).select(key) if reopen else history.select(key)
-    fresh = base.join(known.distinct(), key, "left_anti").select(*columns)
-    return kept.unionByName(opened(base.join(again, key, "left_semi").select(*columns), "changed")).unionByName(opened(fresh, "new"))
+        return base.select(*opened(lambda c: F.col(f"`{c}`"), F.lit("new")))
+    h, b = F.struct(*[F.col(f"`{c}`") for c in history.columns]).alias("h"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("b")
+    old, now = history.select(F.col(key).alias("_q_key"), h), base.select(F.col(key).alias("_q_base"), b)
+    j = old.join(now, F.col("_q_key") == F.col("_q_base"), "full")
+    is_open = F.col("h").isNotNull() & F.col("h.version_ended_at").isNull()
+    fresh = F.col("h").isNull()
+    if reopen:  # each base row meets all versions of its key: the first one speaks for those without an open one
+        first = Window.partitionBy(F.coalesce("_q_key", "_q_base")).orderBy(is_open.desc(), F.col(f"h.{version_key}"))
+        j = j.withColumn("_q_place", F.when(F.col("_q_base").isNotNull(), F.row_number().over(first)))
+        fresh = fresh | ((F.col("_q_place") == 1) & ~is_open)
+    j = j.withColumn("_q_open", is_open)
+    changed = F.col("_q_open") & F.coalesce(F.col(f"h.{hash_column}") != F.col(f"b.{hash_column}"), F.lit(False))
+    closed = changed | (F.col("_q_open") & F.col("_q_base").isNull())
+    kept = [
+        F.col(f"h.`{c}`").alias(c) for c in (version_key, *columns, "version_started_at")
+    ] + [
+        F.when(F.col("_q_closed"), ts).otherwise(F.col("h.version_ended_at")).alias("version_ended_at"),
+        F.when(F.col("_q_changed"), "changed").when(F.col("_q_closed"), "deleted").otherwise(F.col("h.version_state")).alias("version_state"),
+        F.when(F.col("_q_closed"), run).otherwise(F.col("h.load_run_id")).alias("load_run_id"),
+    ]
+    if stamped:
+        kept.append(F.when(F.col("_q_closed"), ts).otherwise(F.col(f"h.{LOADED}")).alias(LOADED))
+    begun = opened(lambda c: F.col(f"b.`{c}`"), F.when(F.col("_q_changed"), "changed").otherwise("new"))
+    j = j.withColumns({"_q_changed": changed, "_q_closed": closed, "_q_fresh": fresh})
+    versions = F.array(F.when(F.col("h").isNotNull(), F.struct(*kept)), F.when(F.col("_q_changed") | F.col("_q_fresh"), F.struct(*begun)))
+    return j.select(F.explode(F.filter(versions, lambda v: v.isNotNull())).alias("v")).select("v.*")
 
 
 def ranked_stage(branches: list[tuple[DataFrame, int | None]], keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -142,11 +160,11 @@ def identity_stage(branches: list[tuple[DataFrame, str]]) -> DataFrame:
 
 
 def plan_load(dataset: Dataset) -> str:
-    """view, historize, full, append or merge."""
+    """external, view, historize, full, append or merge."""
     layer = LAYERS[dataset.layer]
-    mode = dataset.mode or layer.mode
-    if (dataset.materialization or layer.materialization) == "view":
-        return "view"
+    mode, kind = dataset.mode or layer.mode, dataset.materialization or layer.materialization
+    if kind in ("external", "view"):
+        return kind
     if dataset.name.endswith("_hist"):
         return "historize"
     if mode == "snapshot":
@@ -180,17 +198,19 @@ def swap_table(df: DataFrame, name: str) -> None:
     spark.sql(f"drop table if exists {old}")
 
 
-def load(dataset: Dataset, df: DataFrame, ctx: RunContext, table: str | None = None) -> str:
-    """Materializes df as the dataset by its load mode; the mode used."""
+def load(dataset: Dataset, df: DataFrame, ctx: RunContext, table: str | None = None, pepper: str = "") -> str:
+    """Materializes df as the dataset by its load mode; the mode used. An external table is left as it is."""
     spark, table = df.sparkSession, table or dataset.name
     mode = plan_load(dataset)
+    if mode == "external":
+        return mode
     there = mode != "view" and restored(spark, table)
     if mode == "view":
         df.createOrReplaceTempView(table)
     elif mode == "append":
         df.write.mode("append").saveAsTable(table)
     elif mode == "historize":
-        swap_table(scd2(spark.table(table) if there else None, df, dataset.keys[0], ctx, version_key=f"{dataset.name}_key"), table)
+        swap_table(scd2(spark.table(table) if there else None, df, dataset.keys[0], ctx, version_key=f"{dataset.name}_key", pepper=pepper, stamped=LOADED in {c.name for c in dataset.columns}), table)
     elif mode == "merge" and there:
         target = spark.table(table)
         if dataset.detect_deletes and dataset.scope:

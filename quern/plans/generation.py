@@ -22,7 +22,7 @@ SPELLED = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue
 RUN_COLUMNS = (Column("load_run_id", "STRING(64)", "technical", False), Column("loaded_at", "TIMESTAMP", "technical", False))
 VERSION_COLUMNS = (
     Column("version_started_at", "TIMESTAMP", "technical", False), Column("version_ended_at", "TIMESTAMP", "technical"),
-    Column("version_state", "STRING(20)", "technical", False), Column("load_run_id", "STRING(64)", "technical", False),
+    Column("version_state", "STRING(20)", "technical", False), *RUN_COLUMNS,
 )
 
 
@@ -96,8 +96,11 @@ def with_keys(dataset: Dataset, pepper: str = "") -> Dataset:
     return replace(dataset, columns=(first, *dataset.columns, last))
 
 
-def history(dataset: Dataset) -> Dataset:
-    """The history of a core dataset: its columns, nullable; its surrogate key is the key of the entity."""
+def history(dataset: Dataset, pepper: str = "") -> Dataset:
+    """The history of a core dataset: its columns, nullable; its surrogate key is the key of the entity.
+
+    The key of a version covers that key, the time the version began, and the pepper.
+    """
     base = next((c for c in dataset.columns if c.role == "surrogate"), None)
     if base is None:
         raise ValueError(f"{dataset.name} has no surrogate key to follow")
@@ -107,7 +110,7 @@ def history(dataset: Dataset) -> Dataset:
         for c in dataset.columns if c.name not in {x.name for x in (*RUN_COLUMNS, *VERSION_COLUMNS)}
     ]
     name = f"{dataset.name}_hist"
-    version = Column(f"{name}_key", "STRING(64)", "surrogate", False, key_expression=key_expression([base.name, "version_started_at"]))
+    version = Column(f"{name}_key", "STRING(64)", "surrogate", False, key_expression=key_expression([base.name, "version_started_at"], pepper))
     return Dataset(name, dataset.layer, (version, *kept, *VERSION_COLUMNS), (dataset.name,), "historize")
 
 
@@ -130,7 +133,7 @@ def generate(tables: list[SourceTable], pepper: str = "") -> list[Dataset]:
         incremental = incremental_source(members) is not None
         core = with_keys(Dataset(dataset_name("rawcore", group, name), "rawcore", core_columns, (stage.name,), "merge" if incremental else "full"), pepper)
         core = replace(core, columns=(*core.columns, *RUN_COLUMNS))
-        out += [*raws, stage, core, *([history(core)] if core.keys else [])]
+        out += [*raws, stage, core, *([history(core, pepper)] if core.keys else [])]
     names = [d.name for d in out]
     if len(set(names)) < len(names):
         raise ValueError(f"dataset names clash: {sorted(n for n in set(names) if names.count(n) > 1)}")
@@ -160,6 +163,23 @@ def with_reference(child: Dataset, ref: Reference, parent: Dataset) -> Dataset:
     return replace(child, columns=(*child.columns, fresh))
 
 
+def unwrapped(text: str) -> str:
+    """An expression without the double braces it may stand in."""
+    return re.sub(r"^\s*\{\{(.*)\}\}\s*$", r"\1", text, flags=re.S)
+
+
+def filled(text: str, alias: str | None = None, names: dict[str, str] | None = None) -> str:
+    """A template of SQL text: {alias} becomes the alias, {expr:name} the expression that names has for it."""
+
+    def bound(m: re.Match) -> str:
+        if m[1] not in (names or {}):
+            raise ValueError(f"nothing is bound to {m[1]} in {text}")
+        return names[m[1]]
+
+    text = text.replace("{alias}", alias) if alias else text
+    return re.sub(r"\{expr:([A-Za-z0-9_]+)\}", bound, text)
+
+
 def projected(df: DataFrame, dataset: Dataset, ctx: RunContext, needed: tuple[str, ...] = ()) -> DataFrame:
     """The active columns of a dataset from its input.
 
@@ -181,8 +201,7 @@ def projected(df: DataFrame, dataset: Dataset, ctx: RunContext, needed: tuple[st
         elif c.role == "technical" and c.name == "row_hash" and "row_hash" not in there:
             value = row_hash(hashed)
         elif c.expression:
-            text = re.sub(r"^\s*\{\{(.*)\}\}\s*$", r"\1", c.expression, flags=re.S)
-            value = F.expr(ctx.fill(text))
+            value = F.expr(ctx.fill(unwrapped(c.expression)))
         else:
             name = next((n for n in (c.source, c.name) if n and n.lower() in there), None)
             if name is None:
@@ -216,8 +235,43 @@ def columns_of(schema: T.StructType, keys: tuple[str, ...] = ()) -> tuple[Column
 
 
 def import_table(spark: SparkSession, name: str, keys: tuple[str, ...] = ()) -> tuple[Column, ...]:
-    """The columns of a table the catalogue knows; no row is read."""
-    return columns_of(spark.table(name).schema, keys)
+    """The columns of a table the catalogue knows, with their comments; no row is read.
+
+    Spark's catalogue holds no keys, so they are named.
+    """
+    notes = {c.name: c.description for c in spark.catalog.listColumns(name)}
+    return tuple(replace(c, comment=notes.get(c.name)) for c in columns_of(spark.table(name).schema, keys))
+
+
+@dataclass(frozen=True)
+class Imported:
+    """The columns of a table, its primary key in order, and its links: (parent, child column, parent column)."""
+
+    columns: tuple[Column, ...]
+    primary: tuple[str, ...]
+    links: tuple[tuple[str, str, str], ...]
+
+
+def _metadata(rows, *names: str) -> list[tuple]:
+    out = []
+    while rows.next():
+        out.append(tuple(rows.getString(n) for n in names))
+    return out
+
+
+def import_jdbc(spark: SparkSession, url: str, table: str, schema: str | None = None) -> Imported:
+    """The columns, primary key, foreign keys and comments of a table of a database, from its driver; no row is read."""
+    columns = spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{table}" if schema else table).load().schema
+    con = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        about = con.getMetaData()
+        primary = [n for _, n in sorted((int(p), n) for n, p in _metadata(about.getPrimaryKeys(None, schema, table), "COLUMN_NAME", "KEY_SEQ"))]
+        links = _metadata(about.getImportedKeys(None, schema, table), "PKTABLE_NAME", "FKCOLUMN_NAME", "PKCOLUMN_NAME")
+        notes = dict(_metadata(about.getColumns(None, schema, table, "%"), "COLUMN_NAME", "REMARKS"))
+    finally:
+        con.close()
+    found = tuple(replace(c, comment=notes.get(c.name) or None) for c in columns_of(columns, tuple(primary)))
+    return Imported(found, tuple(primary), tuple(sorted(links)))
 
 
 def import_guess(guess: dict[str, dict]) -> tuple[Column, ...]:

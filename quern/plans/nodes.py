@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,8 @@ class Sort:
 
 @dataclass(frozen=True)
 class Scan:
+    """A table, or a call of a table function, such as range(0, 10)."""
+
     table: str
 
 
@@ -54,11 +57,18 @@ class Predicate:
 
 @dataclass(frozen=True)
 class JoinEdge:
-    """right joins what stands before it, as alias i1, i2, ... by place."""
+    """right joins what stands before it, as alias i1, i2, ... by place; left names the alias it joins, i1 unless it says so.
+
+    Bare names in predicates go to the side that has them: where both have, on the left of a predicate to
+    left, on its right to the new side. bucket makes a BETWEEN of numbers an equal join: each row of the new side meets the
+    others through the buckets, of that width, that its range touches, so no side is compared whole with the other.
+    """
 
     right: object
     predicates: tuple[Predicate, ...] = ()
     how: str = "left"
+    left: str | None = None
+    bucket: float | None = None
 
 
 @dataclass(frozen=True)
@@ -118,7 +128,7 @@ class WindowNode:
     columns: Mapping[str, WindowColumn]
 
 
-#: Window function: least and most arguments, and whether an order is needed.
+#: Window functions, with the least and most arguments and whether an order is needed; aggregates, join types and operators.
 WINDOW_RULES = {
     "ROW_NUMBER": (0, 0, True), "RANK": (0, 0, True), "DENSE_RANK": (0, 0, True), "NTILE": (1, 1, True),
     "LAG": (1, 3, True), "LEAD": (1, 3, True), "FIRST_VALUE": (1, 1, True), "LAST_VALUE": (1, 1, True),
@@ -130,11 +140,43 @@ JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "cr
 OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "LIKE", "IN", "BETWEEN", "IS NULL", "IS NOT NULL")
 
 
+CALL = re.compile(r"\w+\(.*\)$", re.S)
+NAME = re.compile(r"('(?:[^']|'')*')|(?<![\w.`])([A-Za-z_]\w*)(?!\w)(?!\s*[.(])")
+
+
+def qualified(text: str, left: str, right: str, left_columns: set[str], right_columns: set[str], side: str) -> str:
+    """text with each bare name given the alias of the side that has it, or of side if both have."""
+
+    def named(m: re.Match) -> str:
+        name = m[2]
+        if name is None or (name.lower() not in left_columns and name.lower() not in right_columns):
+            return m[0]
+        both = name.lower() in left_columns and name.lower() in right_columns
+        return f"{side if both else left if name.lower() in left_columns else right}.{name}"
+
+    return NAME.sub(named, text)
+
+
+def connected(edge: JoinEdge, i: int) -> str | None:
+    """What is wrong with how the edge of input i is tied to the inputs before it, given qualified predicates."""
+    if edge.left is not None and edge.left not in {f"i{k}" for k in range(1, i)}:
+        return f"join i{i}: {edge.left} is not part of the join yet"
+    if edge.how.lower() == "cross":
+        return None
+    text = " ".join(" ".join([p.left, *([p.right] if isinstance(p.right, str) else p.right or ())]) for p in edge.predicates)
+    used = {int(x) for x in re.findall(r"\bi(\d+)\.", text)}
+    if i not in used or not used & set(range(1, i)):
+        return f"join i{i}: no predicate ties it to what stands before it; that is a cross join"
+    return None
+
+
 def build(node, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The DataFrame of a tree; tables gives the scans."""
     if isinstance(node, DataFrame):
         return node
     if isinstance(node, Scan):
+        if CALL.match(node.table):
+            return SparkSession.active().sql(f"select * from {node.table}")
         if node.table not in tables:
             raise ValueError(f"no such table: {node.table}")
         return tables[node.table]
@@ -170,23 +212,46 @@ def condition(p: Predicate) -> Column:
 
 
 def _join(node: Join, tables) -> DataFrame:
-    df = build(node.first, tables).alias("i1")
+    first = build(node.first, tables)
+    columns = {"i1": {c.lower() for c in first.columns}}
+    df = first.alias("i1")
     for i, edge in enumerate(node.edges, 2):
         how = JOINS.get(edge.how.lower())
         if how is None or bool(edge.predicates) == (how == "cross"):
             raise ValueError("a cross join has no predicates, and any other join has some")
-        right = build(edge.right, tables).alias(f"i{i}")
+        right, mine = build(edge.right, tables), f"i{i}"
+        columns[mine], left = {c.lower() for c in right.columns}, edge.left or "i1"
+        put = lambda text, side: qualified(text, left, mine, columns.get(left, set()), columns[mine], side)  # noqa: B023, E731
+        to = lambda r: tuple(put(x, mine) for x in r) if isinstance(r, tuple) else put(r, mine) if isinstance(r, str) else r  # noqa: B023, E731
+        edge = replace(edge, predicates=tuple(replace(p, left=put(p.left, left), right=to(p.right)) for p in edge.predicates))
+        if wrong := connected(edge, i):
+            raise ValueError(wrong)
+        right = right.alias(mine)
         if how == "cross":
             df = df.crossJoin(right)
         else:
             on = condition(edge.predicates[0])
             for p in edge.predicates[1:]:
                 on = on & condition(p)
+            if edge.bucket is not None:
+                df, right = _bucketed(df, right, mine, edge, how)
+                on = (F.col("_q_at") == F.col(f"{mine}._q_bucket")) & on
             df = df.join(right, on, how)
+            df = df.drop("_q_at") if edge.bucket is not None else df
     df = df.where(F.expr(node.where)) if node.where else df
     return df.select(*[F.expr(e).alias(n) for n, e in node.columns.items()])
 
 
+def _bucketed(df: DataFrame, right: DataFrame, mine: str, edge: JoinEdge, how: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a range join with the bucket of each value and the buckets of each range."""
+    ranges = [p for p in edge.predicates if p.op.upper() == "BETWEEN"]
+    if len(ranges) != 1 or edge.bucket <= 0 or how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("buckets need one BETWEEN, a width above 0, and an inner, left, semi or anti join")
+    low, high = (F.floor(F.expr(x) / F.lit(float(edge.bucket))) for x in ranges[0].right)
+    touched = F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
+    return df.withColumn("_q_at", F.floor(F.expr(ranges[0].left) / F.lit(float(edge.bucket)))), right.withColumn("_q_bucket", touched).alias(mine)
+
+
 def measure(m: Measure) -> Column:
     name = m.function.upper()
     if name not in MEASURES:
@@ -206,10 +271,20 @@ def measure(m: Measure) -> Column:
     return F.expr(f"listagg({inner}, '{text}')" + (f" within group (order by {order})" if order else ""))
 
 
+def with_inputs(node: Aggregate):
+    """The input of an aggregate; a select that leaves out columns the aggregate takes gives them too."""
+    inner = node.input
+    if not isinstance(inner, Select) or inner.columns is None or inner.distinct:
+        return inner
+    taken = [*node.keys, *(m.column for m in node.measures.values()), *(s.column for m in node.measures.values() for s in m.order_by)]
+    missing = sorted({c for c in taken if c is not None and c.lower() not in {x.lower() for x in inner.columns}})
+    return replace(inner, columns={**inner.columns, **{c: f"`{c}`" for c in missing}}) if missing else inner
+
+
 def _aggregate(node: Aggregate, tables) -> DataFrame:
     if not node.measures:
         raise ValueError("an aggregate needs measures")
-    df = build(node.input, tables)
+    df = build(with_inputs(node), tables)
     measures = [measure(m).alias(n) for n, m in node.measures.items()]
     df = df.groupBy(*[F.col(k).alias(n) for k, n in node.keys.items()]).agg(*measures) if node.keys else df.agg(*measures)
     return df.where(F.expr(node.having)) if node.having else df
@@ -274,11 +349,44 @@ def contract(node, tables: Mapping[str, list[str]]) -> list[str]:
     return out
 
 
+def output_types(node, tables: Mapping[str, Mapping[str, str]]) -> dict[str, str]:
+    """Logical types of a tree's output by rule: a count is a BIGINT, a rank an INTEGER, other aggregates keep their
+    column's type, a column its own; whatever else an expression gives is a STRING until it is declared.
+    """
+    if isinstance(node, Scan):
+        return dict(tables[node.table])
+    if isinstance(node, Select):
+        known = output_types(node.input, tables)
+        return known if node.columns is None else {n: known.get(e, "STRING") for n, e in node.columns.items()}
+    if isinstance(node, Join):
+        sides = {f"i{i}.{c}": t for i, x in enumerate([node.first, *(e.right for e in node.edges)], 1) for c, t in output_types(x, tables).items()}
+        return {n: sides.get(e, "STRING") for n, e in node.columns.items()}
+    if isinstance(node, Union):
+        known = output_types(node.branches[0].input, tables)
+        return {c: known.get(node.branches[0].mapping.get(c), "STRING") for c in node.contract}
+    known = output_types(node.input, tables)
+    if isinstance(node, Aggregate):
+        out = {n: known.get(k, "STRING") for k, n in node.keys.items()}
+        return out | {n: _measured(m.function, m.column, known) for n, m in node.measures.items()}
+    return known | {n: _measured(w.function, w.args[0] if w.args else None, known) for n, w in node.columns.items() if w.active}
+
+
+def _measured(function: str, column: object, known: Mapping[str, str]) -> str:
+    name = function.upper()
+    if name.startswith("COUNT"):
+        return "BIGINT"
+    if name in ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE"):
+        return "INTEGER"
+    return "STRING" if name == "STRING_AGG" else known.get(column, "STRING")
+
+
 def warnings(node) -> list[str]:
-    """What makes a tree's result depend on chance."""
+    """What makes a tree's result depend on chance, or gathers all rows in one task."""
     out = []
     if isinstance(node, Aggregate):
         out += [f"{n}: STRING_AGG without an order" for n, m in node.measures.items() if m.function.upper() == "STRING_AGG" and not m.order_by]
+    if isinstance(node, WindowNode):
+        out += [f"{n}: no partition, so one task sorts all rows" for n, w in node.columns.items() if w.active and not w.partition_by]
     for child in [getattr(node, "input", None), getattr(node, "first", None), *(e.right for e in getattr(node, "edges", ())), *(b.input for b in getattr(node, "branches", ()))]:
         out += warnings(child) if child is not None else []
     return out

@@ -51,8 +51,8 @@ def flat_paths(schema: T.StructType) -> dict[str, str]:
     return out
 
 
-#: Each kind absorbs those before it; JSON, then STRING, absorb all.
-ORDER = ("BOOLEAN", "INTEGER", "BIGINT", "DECIMAL", "FLOAT", "DATE", "TIMESTAMP", "JSON", "STRING")
+#: Each kind absorbs those before it.
+ORDER = ("BOOLEAN", "INTEGER", "BIGINT", "DECIMAL", "FLOAT", "DATE", "TIMESTAMP", "STRING", "JSON")
 
 
 def kind_of(value) -> str | None:

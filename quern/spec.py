@@ -47,6 +47,7 @@ class Column:
     former_names: tuple[str, ...] = ()
     active: bool = True
     query_derived: bool = False
+    comment: str | None = None
 
     @property
     def logical(self) -> LogicalType:

@@ -49,7 +49,8 @@ class LogicalType:
         return cls(name)
 
     @classmethod
-    def of(cls, kind: T.DataType) -> LogicalType:
+    def of(cls, kind: T.DataType, strict: bool = True) -> LogicalType:
+        """The logical type of a Spark type; one that has none, as an interval, is an error, or keeps its name if not strict."""
         if isinstance(kind, T.DecimalType):
             return cls("DECIMAL", precision=kind.precision, scale=kind.scale)
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
@@ -59,6 +60,12 @@ class LogicalType:
             T.DoubleType: "FLOAT", T.FloatType: "FLOAT", T.BooleanType: "BOOLEAN", T.DateType: "DATE",
             T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP", T.BinaryType: "BINARY",
         }
+        if isinstance(kind, (T.VarcharType, T.CharType)):
+            return cls("STRING", length=kind.length)
+        if isinstance(kind, T.VariantType):
+            return cls("JSON")
+        if type(kind) not in table:
+            return cls.parse(kind.simpleString(), strict)
         return cls(table[type(kind)])
 
     def spark(self) -> T.DataType:

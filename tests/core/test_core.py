@@ -138,8 +138,8 @@ def test_csv_and_json(spark, tmp_path):
     assert rows(readers.read(spark, source, CTX, readers.cutoff(CTX.ts, 2, "month")), "a") == [(1,)]
     with pytest.raises(ValueError):
         readers.read(spark, source, CTX)
-    with pytest.raises(NotImplementedError):
-        readers.read(spark, readers.Source("excel", "x"))
+    with pytest.raises(ValueError):
+        readers.read(spark, readers.Source("excel", "x", {"header_row": 0}))
 
 
 def test_cutoffs():
@@ -172,7 +172,7 @@ def test_evolution(spark):
     old = Dataset("t", "rawcore", (Column("a", "INTEGER"), Column("b"), Column("gone")))
     new = Dataset("t", "rawcore", (Column("a", "BIGINT"), Column("c", former_names=("b",)), Column("d", "DATE")))
     got = {(c.kind, c.column): evolution.decide(c) for c in evolution.diff([old], [new])}
-    assert got == {("change", "a"): "ALLOW", ("rename", "c"): "ALLOW", ("add", "d"): "ALLOW", ("drop", "gone"): "BLOCKED_BY_POLICY"}
+    assert got == {("change", "a"): "REQUIRES_PREFLIGHT", ("rename", "c"): "ALLOW", ("add", "d"): "ALLOW", ("drop", "gone"): "BLOCKED_BY_POLICY"}
     moved = evolution.migrate(spark.createDataFrame([(1, "x", "y")], "a int, b string, gone string"), old, new)
     assert moved.dtypes == [("a", "bigint"), ("c", "string"), ("d", "date"), ("gone", "string")]
     assert evolution.renamed(old, "b", "z").columns[1].former_names == ("b",)
@@ -180,6 +180,31 @@ def test_evolution(spark):
         evolution.renamed(old, "b", "A")
 
 
+def test_history_of_many_runs_equals_steps(spark):
+    """One join gives what closing and opening step by step would."""
+    import random
+
+    rng = random.Random(3)
+    history, plain = None, {}
+    for turn in range(1, 6):
+        now = {k: rng.choice("abN") for k in range(20) if rng.random() < 0.7}
+        ctx = loads.RunContext(f"r{turn}", datetime(2024, turn, 1))
+        base = spark.createDataFrame([(str(k), None if v == "N" else v) for k, v in now.items()], "k string, row_hash string")
+        history = loads.scd2(history, base, "k", ctx, stamped=True)
+        history = spark.createDataFrame(history.collect(), history.schema)
+        for k in list(plain):
+            for v in [v for v in plain[k] if v[2] is None]:
+                if k not in now:
+                    v[2:] = [turn, "deleted"]
+                elif "N" not in (now[k], v[0]) and now[k] != v[0]:
+                    v[2:] = [turn, "changed"]
+                    plain[k].append([now[k], turn, None, "changed"])
+        for k in now:
+            plain.setdefault(k, [[now[k], turn, None, "new"]])
+    got = sorted((int(r.k), r.row_hash or "N", r.version_started_at.month, r.version_ended_at.month if r.version_ended_at else None, r.version_state, r.loaded_at.month) for r in history.collect())
+    assert got == sorted((k, *v, v[2] or v[1]) for k, vs in plain.items() for v in vs)
+
+
 def test_runs():
     graph = {"a": (), "b": ("a",), "c": ("b",), "d": ()}
     assert runs.levels(graph) == [["a", "d"], ["b"], ["c"]] and runs.lineage(graph, "c") == {"b": 1, "a": 2} and runs.lineage(graph, "a", True, 1) == {"b": 1}

@@ -117,10 +117,10 @@ def test_review():
     old = [Dataset("t", "rawcore", (Column("a", "INTEGER"), Column("b")))]
     new = [Dataset("t", "rawcore", (Column("a", "BIGINT"), Column("b")))]
     fine = review.promotion(review.report(old, new), "dev", "prod")
-    assert fine["status"] == "ready" and review.promotion(review.report(old, old), "dev", "prod")["status"] == "unchanged"
+    assert fine["status"] == "preflight" and review.promotion(review.report(old, old), "dev", "prod")["status"] == "unchanged"
     yes = review.approval(fine, "one", True, CTX.ts)
     assert review.review_status(fine, []) == "pending" and review.review_status(fine, [yes]) == "approved" and review.review_status(fine, [yes], 2) == "pending"
-    blocked = review.promotion(review.report(new, old), "dev", "prod")
+    blocked = review.promotion(review.report(old, [Dataset("t", "rawcore", old[0].columns[:1])]), "dev", "prod")
     assert blocked["status"] == "blocked" and review.review_status(blocked, [yes]) == "stale"
     with pytest.raises(ValueError):
         review.approval(blocked, "one", True, CTX.ts)
