@@ -16,7 +16,8 @@ Before the shuffle each task drops, block by block, the windows that it has met
 in the block and notes them as repeats, so an anchor that a third of all documents
 share reaches its reducer at most once from each block.
 
-Null texts have no words. Null ids come after all others. Rows of one id are one
+Null texts have no words. Null ids come after all others, as does an id of 2^63 - 1, which
+counts as one. Rows of one id are told apart by the 64-bit hash of their text, and are one
 document as to what is earlier: windows of one id and start do not remove each
 other, so repeated rows get equal results. Extra columns stay; those named like an
 output are replaced. An empty table gives an empty result.
@@ -37,8 +38,6 @@ from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, roll
 
 LENGTH = 20
 ANCHOR = 6
-#: What of a text's hash tells rows of one id apart.
-ROW_BITS = (1 << 24) - 1
 #: Windows of a task that are compared at once before the shuffle, which bounds its memory.
 BLOCK = 1_500_000
 LAST = np.iinfo(np.int64).max
@@ -181,7 +180,7 @@ def _cutter(length: int):
     def make():
         def cut(batch: pa.RecordBatch) -> list:
             kept, total, gone = [], [], []
-            for text, runs in zip(texts_of(batch, "_q_text"), batch.column("_q_runs").to_pylist(), strict=True):
+            for text, runs in zip(texts_of(batch), batch.column("_q_runs").to_pylist(), strict=True):
                 words = text.split()
                 mark = np.zeros(len(words) + 1, np.int64)
                 for run in runs or ():
@@ -203,17 +202,17 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     """docs with kept_text (the kept words, joined by one blank), n_words and n_removed."""
     if not 1 <= anchor <= length:
         raise ValueError("an anchor has 1 to length words")
-    text = text_of(docs)
-    keyed = {"_q_text": text, "_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_q_hash": F.xxhash64(text).bitwiseAND(F.lit(ROW_BITS))}
-    df = docs.withColumns(keyed)
-    plain = df.select(F.col("_q_text").alias("text"), F.col("_q_id").alias("id"), F.col("_q_hash").alias("row"))
+    keyed = {"_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_q_hash": F.xxhash64(text_of(docs))}
+    # the text is shuffled once, so a text of another type is read as a string
+    df = docs.withColumns(keyed if docs.schema["text"].dataType == StringType() else keyed | {"text": F.col("text").cast("string")})
+    plain = df.select("text", F.col("_q_id").alias("id"), F.col("_q_hash").alias("row"))
     seeds = plain.mapInArrow(trimmed(_seeds(length, anchor)), ROWS).repartition("anchor")
     repeats = seeds.mapInArrow(trimmed(_extended), "id long, row long, runs binary")
     # the repeats of one document: no more than it has windows
     merged = repeats.groupBy(F.col("id").alias("_q_id"), F.col("row").alias("_q_hash")).agg(F.collect_list("runs").alias("_q_runs"))
     joined = df.join(merged, ["_q_id", "_q_hash"], "left")
     fields = {"kept_text": StringType(), "n_words": LongType(), "n_removed": LongType()}
-    return with_columns(joined, fields, _cutter(length), ("_q_text", "_q_id", "_q_hash", "_q_runs"))
+    return with_columns(joined, fields, _cutter(length), ("_q_id", "_q_hash", "_q_runs"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

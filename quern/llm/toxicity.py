@@ -1,21 +1,23 @@
 """Toxicity: class-conditional Kneser-Ney models of words and letters.
 
-Two models, of toxic and of ordinary documents, give each word the difference of
-its log-likelihoods: once as letters, by interpolated Kneser-Ney models of four
-letters within words, and once as a whole, by discounted word counts that fall
-back on the letters. The two classes share the counts of the two lowest orders, so
-a rare expression that only one class has seen falls back on the same ground in
-the other. A document's score comes from its length-normalised differences, over
-the whole text and over its most toxic passages of a few words, through a logistic
-curve.
+Two models, of toxic and of ordinary documents, give each word a log-likelihood, and
+their difference. As a whole word: a class's discounted count, and for the mass that discounting
+saves the shared model, which is the discounted count of both classes together, and for what that saves the
+probability of the word's letters in both classes. So a rare expression that only one
+class has seen, or none, falls back on the same ground in the other; each class's probabilities
+of all words sum to 1. As letters: interpolated Kneser-Ney models of four letters
+within words by class, which share the counts of the two lowest orders. A document's score
+comes from its length-normalised differences, over the whole text and over its most
+toxic passages of a few words, through a logistic curve; as the highest of many passages is higher
+than that of few, the curve also knows how many words there are.
 
 The counts cover every labelled training document. They are summed in Spark by
 four-letter code, of 20 bits, and for words by the 64-bit hash of the word: each
 distinct word keeps its own exact count, so the word counts grow with the input. They
 pass through the driver in parts of ``PART`` words, each broadcast by itself. A task
 reads one part after the other and keeps only the counts of the words of its present
-texts, so no process holds all of them. The letters take 2 MB, one half-precision
-number a code. The curve is fitted on at most about ``max_curve`` labelled training
+texts, so no process holds all of them. The letters take 4 MB, two half-precision
+numbers a code. The curve is fitted on at most about ``max_curve`` labelled training
 documents, half of either class where there are as many, which a first model did not
 count; each stands for as many of its class as were there for one drawn.
 
@@ -52,8 +54,6 @@ KINDS = 4
 #: Words in a broadcast part of the counts, of 24 bytes each.
 PART = 1 << 20
 THRESHOLD = 0.7
-#: Nats a letter that the letters of a word take, about.
-LETTER_RATE = 2.2
 FEATURES = 2 * (len(PASSAGES) + 1) + 1
 #: Rows of labels up to which they are broadcast: 16 bytes each.
 MOST_BROADCAST = 2_000_000
@@ -140,12 +140,15 @@ class WordCounts:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.parts, self.waiting, self.size = spark, [], [], 0
-        self.totals, self.distinct = np.zeros(KINDS), np.zeros((2, 2))
+        #: of each kind all counts; of the early ones and of all, the distinct words of either class and of both
+        self.totals, self.distinct = np.zeros(KINDS), np.zeros((2, 3))
 
     def add(self, key: np.ndarray, n: np.ndarray) -> None:
         """Words not added before, by hash, with a row of counts for each kind."""
         self.totals += n.sum(1)
-        self.distinct += [(chosen(n, early) > 0).sum(1) for early in (False, True)]
+        for row, early in zip(self.distinct, (False, True), strict=True):
+            seen = chosen(n, early) > 0
+            row += [*seen.sum(1), seen.any(0).sum()]
         self.waiting.append((key, n.astype(np.float32)))
         self.size += len(key)
         if self.size >= PART:
@@ -182,20 +185,21 @@ def counts_of(words: list[str], parts: list, early: bool = False) -> np.ndarray:
 
 
 class Model:
-    """For each code the difference of log-likelihoods of its last letter, toxic less ordinary, and what all word counts come to."""
+    """For each code the difference of log-likelihoods of its last letter, toxic less ordinary, its log-likelihood
+    in both classes together, and what all word counts come to.
+    """
 
     def __init__(self, letters: np.ndarray, totals: np.ndarray, distinct: np.ndarray):
-        """letters: a row of counts by code for the ordinary and for the toxic documents."""
-        self.table = np.zeros(CODES, np.float16)
-        self.totals = totals
-        #: the share of probability that unseen words have
-        self.saved = DISCOUNT * distinct / np.maximum(self.totals, 1)
-        both = [(at := np.flatnonzero(letters[y]), letters[y][at]) for y in (1, 0)]
+        """letters: a row of counts by code for the ordinary and for the toxic documents; distinct: words of either and of both."""
+        self.table, self.shared = np.zeros(CODES, np.float16), np.zeros(CODES, np.float16)
+        self.totals = np.maximum([*totals, totals.sum()], 1)
+        #: the share of probability that discounting saves, in either class and in both together
+        self.saved = DISCOUNT * distinct / self.totals
+        both = [(at := np.flatnonzero(n), n[at]) for n in (letters[1], letters[0], letters.sum(0))]
         self.trained = all(len(c) > 0 for c, _ in both)
         if not self.trained:
             return
-        pooled = np.unique(np.concatenate([c for c, _ in both]))
-        three = np.unique(pooled & (LETTERS**3 - 1))
+        three = np.unique(both[2][0] & (LETTERS**3 - 1))
         two, seen = _continued(three, 2)
         one, ends = _continued(two, 1)
         p1 = np.full(LETTERS, 0.5)
@@ -220,6 +224,14 @@ class Model:
                 counts[top[a:b] - start] = n[a:b]
                 logs.append(np.log(_interpolated(counts, p, start)))
             self.table[start : start + block] = logs[0] - logs[1]
+            self.shared[start : start + block] = logs[2]
+
+    def logs(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of words in the ordinary and in the toxic class, from their counts there and their letters' in both."""
+        counts = np.vstack([counts, counts.sum(0)])
+        kept = np.maximum(counts - DISCOUNT, 0) / self.totals[:, None]
+        p = kept[2] + self.saved[2] * np.exp(np.maximum(spelled, -600.0))
+        return np.log(kept[:2] + self.saved[:2, None] * p)
 
 
 def restored(data: dict) -> Model:
@@ -276,14 +288,13 @@ class Reader:
         self.values = np.vstack([self.values, *(self.differences(new[i : i + step], counts[:, i : i + step]) for i in range(0, len(new), step))])
 
     def differences(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        m = self.model
+        """Of each word the difference of its letters, and its own as a whole."""
         code, starts = coded(words, self.letters)
-        spelled = np.add.reduceat(m.table[code].astype(np.float64), starts)
-        # a word's letters weigh as much as LETTER_RATE a letter in the ordinary class, and by their difference in the toxic one
-        base = np.exp(-LETTER_RATE * np.minimum(np.diff(np.append(starts, len(code))), 40))
-        p = [np.maximum(counts[y] - DISCOUNT, 0) / max(m.totals[y], 1) + m.saved[y] * base * (np.exp(np.clip(spelled, -20, 20)) if y else 1.0) for y in (0, 1)]
-        whole = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300)) if m.trained else spelled
-        return np.stack([spelled, whole], 1)
+        spelled, shared = (np.add.reduceat(table[code].astype(np.float64), starts) for table in (self.model.table, self.model.shared))
+        if not self.model.trained:
+            return np.stack([spelled, spelled], 1)
+        ordinary, toxic = self.model.logs(counts, shared)
+        return np.stack([spelled, toxic - ordinary], 1)
 
     def features(self, texts: list[np.ndarray]) -> np.ndarray:
         """For either model the mean over all words and the highest means over passages; the log of the length."""

@@ -179,7 +179,7 @@ def test_mix_of_odd_sources(spark, case, weighted):
     got = mixing.mix(df.repartition(3), **options).collect()
     assert len(got) == len(rows)
     if weighted:
-        fate = lambda rows: Counter((r.doc_id, r.source, r.text, r.w, r.taken) for r in rows)
+        fate = lambda rows: Counter((r.doc_id, r.source, r.text, r.w if r.w > 0 else 1.0, r.taken) for r in rows)
         assert fate(got) == fate(mixing.mix(df.repartition(5), **options).collect())
     sizes = Counter()
     for _, s, t, *_ in rows:
@@ -281,3 +281,37 @@ def test_executors_without_the_package(spark, tmp_path):
     said = [x for x in done.stdout.splitlines() if x.startswith(("op", "left"))]
     assert [x.split()[0] for x in said] == [*names, "left"], done.stderr[-3000:]
     assert said[-1] == "left []"
+
+
+# --- toxicity ---
+
+
+def test_word_probabilities_sum_to_one(spark):
+    """Each class's probabilities: those of the words seen, and of unseen ones by letters, as counted by hand."""
+    from quern.llm import toxicity
+
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 3))) for _ in range(400)]
+    counts = np.array([[sum(w == x for x in part) for w in sorted(set(words))] for part in (words[:300], words[300:])], float)
+    vocabulary = sorted(set(words))
+    codes, starts = toxicity.coded(vocabulary, toxicity.alphabet())
+    letters = np.zeros((2, toxicity.CODES))
+    for y in (0, 1):
+        np.add.at(letters[y], codes, np.repeat(counts[y], np.diff(np.append(starts, len(codes)))))
+    distinct = np.array([*(counts > 0).sum(1), len(vocabulary)])
+    model = toxicity.Model(letters, counts.sum(1), distinct)
+    # in every context the letters' probabilities sum to 1
+    for context in np.unique(codes >> toxicity.BITS):
+        p = np.exp(model.shared[context << toxicity.BITS : (context + 1) << toxicity.BITS].astype(float))
+        assert abs(p.sum() - 1) < 0.01
+    spelled = np.add.reduceat(model.shared[codes].astype(float), starts)
+    p = np.exp(model.logs(counts, spelled))
+    D = toxicity.DISCOUNT
+    for y in (0, 1):
+        c, both = counts[y], counts.sum(0)
+        shared = np.maximum(both - D, 0) / both.sum() + D * len(vocabulary) / both.sum() * np.exp(spelled)
+        want = np.maximum(c - D, 0) / c.sum() + D * (c > 0).sum() / c.sum() * shared
+        assert np.allclose(p[y], want)
+        # what the words seen lack is what their letters leave to all other words
+        rest = D * (c > 0).sum() / c.sum() * D * len(vocabulary) / both.sum() * (1 - np.exp(spelled).sum())
+        assert abs(p[y].sum() + rest - 1) < 1e-9
