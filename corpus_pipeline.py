@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 All but the last return the columns of documents.
+
+Null texts, null ids, repeated rows and extra columns pass through as the operators
+of each stage define it; an empty table gives an empty result. Without labels no document is toxic.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from quern.llm.common import documents, work_table
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score_toxicity(docs.select("*", F.col("doc_id").alias("_q_id")), labels)
+    scored = toxicity.score_toxicity(docs, labels)
     return scored.where("predicted = 0").select(*docs.columns)
 
 
@@ -37,8 +40,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words it takes of each, repeats counted."""
-    return mixing.mix(docs).where("taken > 0")
+    """Documents that the mix takes, with the words it takes of each, repeats counted; longer ones weigh more."""
+    weighed = docs.withColumn("_q_weight", mixing.length_weight(F.col("text")))
+    return mixing.mix(weighed, weight_column="_q_weight").where("taken > 0").drop("_q_weight")
 
 
 STAGES = [
@@ -49,7 +53,7 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: Trained scores and hashed ranks are beyond SQL; the stages are tested one by one.
+#: Trained scores and hashed ranks are beyond SQL; tests/llm/test_pipeline.py has each stage, and run(), against brute force.
 ORACLE_SQL = None
 
 
