@@ -18,7 +18,8 @@ once from each task. Candidates come in rounds. In each star round a bucket's
 classes are compared with one of them, so there are no more candidates than rows;
 pairs already compared, and pairs already connected, are left out. What is still not
 connected within a bucket is compared in the last round by products of 0/1
-matrices, block by block, and only pairs near the threshold leave a block.
+matrices, and only pairs near the threshold leave a block. Groups too large for that meet by
+their rarest shingles, of which two linked sets share one.
 Candidates are verified on whole sets of 64-bit shingle hashes. Components come from repeated minimum
 labels with pointer jumping, written to the shared folder after each step.
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from quern.llm.common import documents, work_table
+from quern.llm.common import documents, dropped, work_table
 from quern.llm.words import HashCache, hashed_words, mixed, rolled, slices, texts_of, trimmed, with_columns
 
 SIDE, WIDTH = 14, 3
@@ -48,6 +49,8 @@ THRESHOLD = 0.8
 STARS = 2
 #: Nodes of a block of the last round.
 GROUP = 512
+#: Cells of shingle hashes that are counted to tell rare shingles from common ones, 8 bytes each.
+CELLS = 1 << 20
 #: Ids up to which the list of documents to verify is broadcast: about 40 bytes each.
 MOST_BROADCAST = 1_000_000
 LAST = np.iinfo(np.int64).max
@@ -188,10 +191,12 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = lower.join(ahead, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        jumped = work_table(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("old != label").limit(1).count() == 0:
-            return labels
+        before, labels = labels, work_table(jumped, "labels")
+        done = labels.where("old != label").limit(1).count() == 0
+        dropped(before)
+        if done:
+            dropped(both)
+            return labels.select("node", "label")
 
 
 def _set_reader(shingle: int, kind: str):
@@ -321,12 +326,106 @@ def _blocked(percent: int):
     return run
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to (cell, n): how many of the task's sets have a shingle of that cell of hashes."""
+    n = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for s in batch.column("shingles"):
+            n += np.bincount((np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+
+def _prefixes(shared, percent: int):
+    """(node, label, shingles) to (shingle, node, label, size, place): the rarest shingles, one of which any two linked sets share.
+
+    Sets of which percent in a hundred are shared have the same order of shingles, the rare ones first, so
+    the first size - ceil(percent x size / 100) + 1 of either meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.frombuffer(shared.value, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                rows = [[np.zeros(0, np.int64)] for _ in range(5)]
+                for node, label, s in zip(part.column("node").to_pylist(), part.column("label").to_pylist(), part.column("shingles"), strict=True):
+                    x = np.frombuffer(s.as_buffer(), np.uint64)
+                    first = len(x) - -(-percent * len(x) // 100) + 1
+                    x = x[np.lexsort((x, times[(x % np.uint64(CELLS)).astype(np.int64)]))[:first]]
+                    for column, values in zip(rows, (x.view(np.int64), np.full(first, node), np.full(first, label), np.full(first, len(s.as_buffer()) // 8), np.arange(first)), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["shingle", "node", "label", "size", "place"])
+
+    return run
+
+
+def _met(percent: int):
+    """Rows of _prefixes sorted by shingle, no more than GROUP of one, to pairs whose sizes and places allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = columns if rest is None else [np.concatenate(c) for c in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on in the next batch
+            rest = [c[whole:] for c in columns]
+            yield pairs([c[:whole] for c in columns])
+        if rest is not None:
+            yield pairs(rest)
+
+    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, node, label, size, place = columns
+        found = [np.zeros((0, 2), np.int64)]
+        group = np.cumsum(np.append(0, shingle[1:] != shingle[:-1])) if len(shingle) else shingle
+        for step in range(1, GROUP):  # each row with the one ``step`` further on in its group
+            i = np.arange(len(group) - step) if len(group) > step else np.zeros(0, np.int64)
+            i = i[group[i] == group[i + step]]
+            if not len(i):
+                break
+            j = i + step
+            most = 1 + np.minimum(size[i] - place[i] - 1, size[j] - place[j] - 1)
+            kept = (label[i] != label[j]) & (100 * most >= percent * (size[i] + size[j] - most))
+            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1)[kept])
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _rare_pairs(hot: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of nodes that may be linked, of hot (node, label), and the nodes among them that rare shingles do not tell apart.
+
+    What is collected and broadcast is one number for each of CELLS cells of hashes. They only set the order
+    of shingles, so no link depends on them.
+    """
+    spark = hot.sparkSession
+    sets = work_table(linker.sets(hot.select("node")).join(hot, "node"), "hot-sets")
+    times = np.zeros(CELLS, np.int64)
+    for r in sets.mapInArrow(trimmed(_cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        times[r["cell"]] = r["n"]
+    shared = spark.sparkContext.broadcast(times.tobytes())
+    rows = sets.mapInArrow(trimmed(_prefixes(shared, linker.percent)), "shingle long, node long, label long, size long, place long")
+    rows = work_table(rows, "prefixes")
+    shared.destroy()
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    common = work_table(common.select("shingle", (F.col("n") > GROUP).alias("much")), "prefix-groups")
+    few = rows.join(common.where("not much").select("shingle"), "shingle", "left_semi")
+    pairs = few.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(trimmed(_met(linker.percent)), "a long, b long").distinct()
+    return pairs, rows.join(common.where("much").select("shingle"), "shingle", "left_semi").select("node").distinct()
+
+
 def _rest(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, linker: Linker, side: int) -> DataFrame:
-    """(a, b) of the pairs that share a bucket, are not connected, and are within a hundredth of the threshold.
+    """(a, b) of the pairs that share a bucket, are not connected, and may be linked.
 
     Nodes of buckets that are not of one component meet by the small keys of the
     first collection, of which each bucket is a part, so that there are SIDE small
-    keys a node instead of SIDE x SIDE. Large groups meet in blocks.
+    keys a node instead of SIDE x SIDE. Groups of up to GROUP nodes are compared by their sets. Larger
+    ones, as of documents that share much boilerplate, meet by their rarest shingles instead, which
+    takes rows in proportion to their words. Only nodes whose rarest shingles are those of more than
+    GROUP others meet in blocks.
     """
     named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -338,6 +437,14 @@ def _rest(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, linker: Linke
     groups = met.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = groups.where("low != high").select("slot", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
     met = work_table(met.join(groups, "slot"), "met")
+    hot = met.where("blocks > 1").select("node", "label").distinct()
+    rare = None
+    if hot.limit(1).count():
+        rare, alike = _rare_pairs(hot, linker)
+        alike = work_table(alike, "alike")
+        left = met.where("blocks > 1").drop("blocks").join(alike, "node")
+        blocks = left.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+        met = work_table(met.where("blocks = 1").unionByName(left.join(blocks, "slot")), "met")
     sets = linker.sets(met.select("node").distinct(), "u4")
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -346,7 +453,8 @@ def _rest(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, linker: Linke
         "slot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "label", "block", "shingles"
     )
     dealt = dealt.repartition("slot", "first", "second").sortWithinPartitions("slot", "first", "second")
-    return dealt.mapInArrow(trimmed(_blocked(linker.percent)), "a long, b long").distinct()
+    near = dealt.mapInArrow(trimmed(_blocked(linker.percent)), "a long, b long")
+    return (near if rare is None else near.union(rare)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:

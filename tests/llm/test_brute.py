@@ -315,3 +315,43 @@ def test_word_probabilities_sum_to_one(spark):
         # what the words seen lack is what their letters leave to all other words
         rest = D * (c > 0).sum() / c.sum() * D * len(vocabulary) / both.sum() * (1 - np.exp(spelled).sum())
         assert abs(p[y].sum() + rest - 1) < 1e-9
+
+
+# --- near duplicates ---
+
+
+def test_family_that_shares_boilerplate(spark, monkeypatch):
+    """Unlike documents with much text in common: groups beyond GROUP meet by rare shingles, and no link is lost or added."""
+    from quern.llm import minhash
+
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(minhash, "GROUP", 16)
+    asked, rare = [], minhash._rare_pairs
+    monkeypatch.setattr(minhash, "_rare_pairs", lambda hot, linker: asked.append(hot.count()) or rare(hot, linker))
+    common_part = [f"c{i}" for i in range(150)]
+    docs = []
+    for i in range(260):
+        words = [f"u{rng.integers(0, 10**9)}" for _ in range(60)]
+        docs.append(common_part + words)
+        if i % 8 == 0:  # two links in a row, the ends of which are no link, and one pair just below the threshold
+            docs += [common_part + words[: 60 - n] + [f"u{rng.integers(0, 10**9)}" for _ in range(n)] for n in (12, 24, 25)]
+    # an alike family: every shingle is one of many
+    parts = [[f"p{j}x{k}" for k in range(12)] for j in range(14)]
+    docs += [[w for j in sorted(rng.choice(14, 9, replace=False)) for w in parts[j]] for _ in range(60)]
+    sets = [{(a, b) for a, b in zip(d, d[1:])} for d in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(df, shingle=2).collect()
+    assert asked and asked[0] > 100
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(docs))}
