@@ -37,7 +37,7 @@ from quern.llm.common import share_below, work_table
 from quern.llm.words import trimmed
 
 K, EVERY = 20, 20
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 8192
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 8192
 FOUND = "query_id long, query_hash long, ids binary, scores binary"
 RESULT = "query_id long, rank int, vec_id long, score double, query_hash long"
 
