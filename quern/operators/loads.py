@@ -1,7 +1,8 @@
 """Load operators: pure functions from the target and its source to the new target.
 
 Parquet tables know no MERGE, so each operator gives the whole new table, which
-``swap_table`` puts in the old one's place.
+``swap_table`` puts in the old one's place. The table of a dataset with buckets is
+partitioned by hash of its keys, and only the buckets that a load changes are rewritten.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.keys import sk
+from quern.sources.scratch import scratch_path
 from quern.spec import LAYERS, Dataset
 
 
@@ -198,6 +200,72 @@ def swap_table(df: DataFrame, name: str) -> None:
     spark.sql(f"drop table if exists {old}")
 
 
+BUCKET = "_bucket"
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def _numbers(df: DataFrame, keys: list[str], buckets: int) -> list[int]:
+    """The buckets of df's rows: no more numbers than there are buckets."""
+    return sorted(r[0] for r in df.select(bucket_of(keys, buckets)).distinct().collect())
+
+
+def rewrite_buckets(table: str, keys: list[str], buckets: int, touched: list[int], change) -> None:
+    """Puts change(rows of the buckets touched) in their place; no other bucket is read or written.
+
+    The new rows are complete in the scratch folder before the first bucket is replaced. Run again, a load that
+    failed between its buckets ends as it would have: merges and histories of one run do not add up.
+    """
+    if not touched:
+        return
+    spark = SparkSession.active()
+    there = spark.table(table)
+    fresh = change(there.where(F.col(BUCKET).isin(touched)).drop(BUCKET)).withColumn(BUCKET, bucket_of(keys, buckets))
+    path = scratch_path(spark, "buckets")
+    fresh.select(*[F.col(f"`{c}`") for c in there.columns]).write.parquet(path)
+    rows, name = spark.read.parquet(path), "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(name, before)
+    for b in sorted(set(touched) - {r[0] for r in rows.select(BUCKET).distinct().collect()}):
+        spark.sql(f"alter table {table} drop if exists partition ({BUCKET} = {b})")
+
+
+def _load_buckets(dataset: Dataset, df: DataFrame, mode: str, ctx: RunContext, table: str, pepper: str) -> None:
+    spark, keys, n = df.sparkSession, dataset.keys, dataset.buckets
+    target = spark.table(table).drop(BUCKET)
+    if mode == "merge":
+        check_unique(df.where(" and ".join(f"`{k}` is not null" for k in keys)), keys)
+        gone = target.limit(0)
+        if dataset.detect_deletes and dataset.scope:
+            scoped = target.where(F.coalesce(F.expr(dataset.scope), F.lit(False)))
+            gone = scoped.alias("t").join(df.select(*keys).alias("s"), _same(keys), "left_anti")
+        touched = sorted({*_numbers(df, keys, n), *_numbers(gone, keys, n)})
+
+        def change(rows: DataFrame) -> DataFrame:
+            if dataset.detect_deletes and dataset.scope:
+                rows = delete_missing(rows, df, keys, dataset.scope)
+            return merge(rows, df, keys, check=False)
+
+    else:
+        check_unique(df.where(F.col(keys[0]).isNotNull()), keys[:1])
+        options = {"version_key": f"{dataset.name}_key", "pepper": pepper, "stamped": LOADED in {c.name for c in dataset.columns}, "check": False}
+        whole = scd2(target, df, keys[0], ctx, **options)
+        # what this run writes bears its id and time
+        mine = (F.col("load_run_id") == ctx.run_id) & ((F.col("version_started_at") == F.lit(ctx.ts)) | (F.col("version_ended_at") == F.lit(ctx.ts)))
+        touched = _numbers(whole.where(mine), keys[:1], n)
+
+        def change(rows: DataFrame) -> DataFrame:
+            return scd2(rows, df.where(bucket_of(keys[:1], n).isin(touched)), keys[0], ctx, **options)
+
+    rewrite_buckets(table, keys if mode == "merge" else keys[:1], n, touched, change)
+
+
 def load(dataset: Dataset, df: DataFrame, ctx: RunContext, table: str | None = None, pepper: str = "") -> str:
     """Materializes df as the dataset by its load mode; the mode used. An external table is left as it is."""
     spark, table = df.sparkSession, table or dataset.name
@@ -209,6 +277,13 @@ def load(dataset: Dataset, df: DataFrame, ctx: RunContext, table: str | None = N
         df.createOrReplaceTempView(table)
     elif mode == "append":
         df.write.mode("append").saveAsTable(table)
+    elif dataset.buckets and there and mode in ("historize", "merge"):
+        _load_buckets(dataset, df, mode, ctx, table, pepper)
+    elif dataset.buckets and mode in ("historize", "merge"):
+        options = {"version_key": f"{dataset.name}_key", "pepper": pepper, "stamped": LOADED in {c.name for c in dataset.columns}}
+        rows = scd2(None, df, dataset.keys[0], ctx, **options) if mode == "historize" else df
+        keys = dataset.keys[:1] if mode == "historize" else dataset.keys
+        rows.withColumn(BUCKET, bucket_of(keys, dataset.buckets)).repartition(BUCKET).write.partitionBy(BUCKET).saveAsTable(table)
     elif mode == "historize":
         swap_table(scd2(spark.table(table) if there else None, df, dataset.keys[0], ctx, version_key=f"{dataset.name}_key", pepper=pepper, stamped=LOADED in {c.name for c in dataset.columns}), table)
     elif mode == "merge" and there:

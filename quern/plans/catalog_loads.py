@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.governance import evolution, migration, runs
 from quern.operators import loads
 from quern.plans import generation as g
-from quern.plans.catalog import declared, plan, query
+from quern.plans.catalog import _SCD2_SQL, _shown, _snapshot, declared, plan, query
 from quern.plans.catalog_ingest import _outcome
 from quern.plans.nodes import Aggregate, Join, JoinEdge, Measure, Predicate, Scan, Select, Sort, build
 from quern.sources.scratch import scratch_path
@@ -96,6 +96,30 @@ def _(t):
     return kept(t, name)
 
 
+@query(
+    "load_merge_in_buckets",
+    f"""WITH old AS (SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(12,2)) AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0), stage AS ({_STAGE} AND c_custkey < 40)
+SELECT * FROM stage UNION ALL SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM stage) AND NOT c_custkey < 60""",
+)
+def _(t):
+    """The same as a merge of the whole, but buckets without a change stay as they are."""
+    name = table_name("buckets")
+    core = replace(CORE, mode="merge", detect_deletes=True, scope="c_custkey < 60", buckets=64)
+    rows = t["customer"].select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "changed").otherwise(F.col("c_name")).alias("new"), "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"))
+    loads.load(core, rows.where("c_custkey % 7 <> 0").drop("new"), R1, name)
+    loads.load(core, rows.where("c_custkey % 11 <> 0 and c_custkey < 40").select("c_custkey", F.col("new").alias("c_name"), "c_acctbal"), R2, name)
+    return kept(t, name).drop(loads.BUCKET)
+
+
+@query("scd2_in_buckets", f"SELECT k, row_hash, started, ended, version_state, load_run_id FROM ({_SCD2_SQL})")
+def _(t):
+    name = table_name("versions")
+    hist = Dataset("rc_k_hist", "rawcore", (Column("k", "BIGINT", "key"),), buckets=64)
+    for n, ctx in ((1, R1), (2, R2)):
+        loads.load(hist, _snapshot(t, n), ctx, name)
+    return _shown(kept(t, name))
+
+
 @declared(
     "load_modes",
     "layer string, mode string, outcome string",

@@ -67,6 +67,8 @@ class Dataset:
     detect_deletes: bool = False
     scope: str | None = None
     former_names: tuple[str, ...] = ()
+    #: Partitions of the table by hash of its keys; with some, a load rewrites those only that it changes.
+    buckets: int = 0
 
     @property
     def keys(self) -> list[str]:

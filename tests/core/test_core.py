@@ -231,3 +231,22 @@ def test_stream_merge(spark, tmp_path):
         part.write.mode("append").parquet(str(tmp_path / "in"))
         merge_stream(spark, str(tmp_path / "in"), df.schema, "streamed", ["k"], "o", str(tmp_path / "cp"))
     assert rows(spark.table("streamed"), "k", "v") == [(1, "b"), (2, "c")]
+
+
+def test_untouched_buckets_stay(spark, tmp_path):
+    """A load of few keys leaves the files of all other buckets alone, and an emptied bucket goes."""
+    core = Dataset("t_buckets", "rawcore", (Column("k", "INTEGER", "key"), Column("v")), ("s",), "merge", detect_deletes=True, scope="k >= 90", buckets=16)
+    spark.sql("drop table if exists t_buckets")
+    loads.load(core, spark.createDataFrame([(k, "a") for k in range(100)], "k int, v string"), CTX)
+    files = lambda: {r[0] for r in spark.table("t_buckets").select("_metadata.file_path").distinct().collect()}
+    before = files()
+    loads.load(core, spark.createDataFrame([(3, "b"), *((k, "a") for k in range(90, 100))], "k int, v string"), CTX)
+    assert rows(spark.table("t_buckets"), "k", "v") == [(k, "b" if k == 3 else "a") for k in range(100)]
+    assert len(before & files()) >= 4
+    loads.load(core, spark.createDataFrame([(3, "b")], "k int, v string"), CTX)
+    assert rows(spark.table("t_buckets"), "k", "v") == [(k, "b" if k == 3 else "a") for k in range(90)]
+    one = Dataset("t_one", "rawcore", core.columns, ("s",), "merge", detect_deletes=True, scope="true", buckets=512)
+    spark.sql("drop table if exists t_one")
+    for given in ([(1, "a"), (2, "a")], [(2, "a")]):
+        loads.load(one, spark.createDataFrame(given, "k int, v string"), CTX)
+    assert rows(spark.table("t_one"), "k", "v") == [(2, "a")]
