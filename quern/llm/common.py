@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import scratch_dir
+
 #: Fixed values of the contracts: a word is a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_local_dir: list[str] = []
 _paths: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can read, from the session.
-
-    Where the session names none, a temporary folder of this process serves in local
-    mode, since there the driver and the executors are one machine; it goes when the
-    process ends. On a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local_dir:
-        folder = tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _local_dir.append("file://" + folder)
-    return _local_dir[0]
-
-
 def work_dir(spark: SparkSession) -> str:
     """The folder of this application's work tables."""
-    return f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
+    return f"{scratch_dir(spark)}/quern-{spark.sparkContext.applicationId}"
 
 
 def work_table(df: DataFrame, name: str) -> DataFrame:
@@ -76,10 +55,6 @@ def share_below(share: float) -> Column:
     return F.lit(int(min((1 << 63) - 1, -(1 << 63) + share * (1 << 64))))
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the rows no model learns from; a null id counts as an empty one."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1

@@ -12,7 +12,7 @@ A benchmark above the bound has several blocks. Each is a broadcast of its own;
 its texts, GROUP bytes at a time, with one block after the other and lets go of each
 before the next, so no process holds two. Nothing is shuffled.
 
-Null texts have no words; items without words have no windows. Items of one id are
+Null texts have no words; a very long text is read whole, by one task. Items without words have no windows. Items of one id are
 one item. A null item id is never reported, though its windows hit. Repeated rows get
 equal results. Extra columns stay; those named like an output are replaced. Empty
 tables give empty results or no hits.

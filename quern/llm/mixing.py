@@ -42,9 +42,9 @@ BLOCK = 1 << 16
 MOST_BROADCAST = 100_000
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A table to join with: broadcast if its size, which is counted, allows it."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table to join with, of so many rows at most: broadcast if that allows it."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
@@ -78,13 +78,12 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     return df.select("key", "source_size", F.least(F.col("limit"), level * F.col("w")).alias("target"))
 
 
-def copies(groups: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
-    """groups (key, w, words) with whole and part: of the copies that documents of that weight expect."""
-    groups = groups.join(few(sources.select("key", "target")), "key")
+def copies(groups: DataFrame, sources: DataFrame, cap: float, n: int) -> DataFrame:
+    """groups (key, w, words) with whole and part: of the copies that documents of that weight expect. n: how many sources there are."""
+    groups = groups.join(few(sources.select("key", "target"), n), "key")
     state = groups.groupBy("key").agg(F.when(F.sum("words") > 0, F.first("target") / F.sum(F.col("words") * F.col("w"))).alias("rate"), F.lit(0).cast("long").alias("n"))
-    while True:
-        state = work_table(state, "mix-rate")
-        at = groups.join(few(state), "key")
+    while True:  # the rates rise until no more groups are capped
+        at = groups.join(few(state, n), "key")
         fits = F.col("rate") * F.col("w") >= cap
         left, full = F.sum(F.when(~fits, F.col("words") * F.col("w"))), F.coalesce(F.sum(F.when(fits, F.col("words"))), F.lit(0))
         rate = F.when(left > 0, (F.first("target") - cap * full) / left).otherwise(F.first("rate"))
@@ -106,25 +105,27 @@ def _named(docs: DataFrame, weight: Column, with_text: bool) -> DataFrame:
     return work_table(rows.withColumn("m", F.monotonically_increasing_id()), "mix-rows")
 
 
-def _equals(rows: DataFrame) -> DataFrame | None:
-    """(m, j): the number of each row among equal ones, from 0; None where no rows are equal. No group is one task's work."""
+def _equals(rows: DataFrame) -> tuple[DataFrame, int] | None:
+    """(m, j), the number of each row among equal ones, from 0, and how many rows that are; None where no rows are equal. No group is one task's work."""
     again = work_table(rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mix-equal")
-    if again.limit(1).count() == 0:
+    n = again.count()
+    if n == 0:
         return None
     block = F.pmod(F.xxhash64("m"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    mine = work_table(rows.select("h", "g", "m").join(few(again), ["h", "g"]).withColumn("block", block).drop("n"), "mix-blocks")
+    mine = work_table(rows.select("h", "g", "m").join(few(again, n), ["h", "g"]).withColumn("block", block).drop("n"), "mix-blocks")
     sizes = mine.groupBy("h", "g", "block").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("h", "g").orderBy("block")
     sizes = sizes.withColumn("before", F.sum("n").over(order) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("h", "g", "block").orderBy("m"))
     mine = mine.withColumn("rank", rank).join(sizes, ["h", "g", "block"])
-    return work_table(mine.select("m", (F.col("before") + F.col("rank") - 1).alias("j")), "mix-numbers")
+    out = work_table(mine.select("m", (F.col("before") + F.col("rank") - 1).alias("j")), "mix-numbers")
+    return out, out.count()
 
 
-def _placed(rows: DataFrame, equals: DataFrame | None, fates: DataFrame, seed: int) -> DataFrame:
+def _placed(rows: DataFrame, equals: tuple[DataFrame, int] | None, fates: tuple[DataFrame, int], seed: int) -> DataFrame:
     """rows with whole, part, place, by Pareto's odds, within (0, 1), and tie."""
-    df = rows.withColumn("j", F.lit(0).cast("long")) if equals is None else rows.join(few(equals), "m", "left").withColumn("j", F.coalesce("j", F.lit(0)))
-    df = df.join(few(fates), ["key", "w"])
+    df = rows.withColumn("j", F.lit(0).cast("long")) if equals is None else rows.join(few(*equals), "m", "left").withColumn("j", F.coalesce("j", F.lit(0)))
+    df = df.join(few(*fates), ["key", "w"])
     bits = F.xxhash64(F.lit(seed), "h", "g", "j").bitwiseAND(F.lit((1 << 52) - 1))
     u = (bits.cast("double") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
@@ -142,11 +143,11 @@ def _drawn() -> Column:
     return F.coalesce(F.col("place").isNotNull() & (F.col("rest") > 0) & early, F.lit(False))
 
 
-def _plan(ranked: DataFrame, rests: DataFrame, cap: float) -> DataFrame:
+def _plan(ranked: DataFrame, rests: DataFrame, cap: float, n: int) -> DataFrame:
     """(key, rest, before, edge, end, upto, swap): what decides each document's draw, a row for each source."""
     state = rests.withColumns({"before": F.lit(0.0), "edge": F.lit(0).cast("long")})
     for level in range(1, LEVELS + 1):
-        inside = ranked.join(few(state), "key").where(_bucket(level - 1) == F.col("edge"))
+        inside = ranked.join(few(state, n), "key").where(_bucket(level - 1) == F.col("edge"))
         words = inside.groupBy("key", _bucket(level).alias("bucket")).agg(F.sum("size").cast("double").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         upto = F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("bucket"))  # at most 2^BITS rows of a source
         over = words.withColumn("upto", upto).where(F.col("upto") >= F.col("rest"))
@@ -154,7 +155,7 @@ def _plan(ranked: DataFrame, rests: DataFrame, cap: float) -> DataFrame:
         state = work_table(state.drop("before", "edge").join(edges, "key", "left"), "mix-edges")
 
     # the last document taken there
-    last = ranked.join(few(state), "key").where(_bucket(LEVELS) == F.col("edge"))
+    last = ranked.join(few(state, n), "key").where(_bucket(LEVELS) == F.col("edge"))
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("place", "tie"))
     last = last.withColumn("upto", upto).withColumn("gap", F.abs(F.col("upto") - F.col("rest")))
     ends = last.groupBy("key").agg(F.min(F.struct("gap", "place", "tie", "upto")).alias("end"))
@@ -169,7 +170,7 @@ def _plan(ranked: DataFrame, rests: DataFrame, cap: float) -> DataFrame:
     moved = F.when(drawn, -F.col("size")).otherwise(F.col("size"))
     closer = (F.abs(gap - moved) < F.abs(gap)) & (F.col("whole") + F.when(drawn, 0).otherwise(1) <= cap)
     change = F.struct(F.abs(gap - moved).alias("left"), "place", "tie")
-    swaps = ranked.join(few(state), "key").where(closer).groupBy("key").agg(F.min(change).alias("swap"))
+    swaps = ranked.join(few(state, n), "key").where(closer).groupBy("key").agg(F.min(change).alias("swap"))
     return work_table(state.join(swaps, "key", "left"), "mix-plan")
 
 
@@ -191,16 +192,17 @@ def mix(
     rows = _named(docs, F.when((weight > 0) & (weight < float("inf")), weight).otherwise(1.0), with_text)
     groups = work_table(rows.groupBy("key", "w").agg(F.sum("size").alias("words")), "mix-groups")
     sums = work_table(groups.groupBy("key").agg(F.sum("words").alias("source_size")), "mix-sums")
+    n, n_groups = sums.count(), groups.count()
     sources = work_table(targets(sums, weights, share, cap), "mix-targets")
-    fates = work_table(copies(groups, sources, cap), "mix-copies")
+    fates = work_table(copies(groups, sources, cap, n), "mix-copies")
     certain = fates.groupBy("key").agg(F.sum(F.col("whole") * F.col("words")).alias("certain"))
-    rests = sources.join(certain, "key").select("key", (F.col("target") - F.col("certain")).alias("rest"))
-    fates = fates.drop("words")
+    rests = work_table(sources.join(certain, "key").select("key", (F.col("target") - F.col("certain")).alias("rest")), "mix-rests")
+    fates = (fates.drop("words"), n_groups)
     equals = _equals(rows)
     placed = _placed(rows.drop("row"), equals, fates, seed).where("place is not null and size > 0")
     ranked = work_table(placed.select("key", "place", "tie", "size", "whole"), "mix-ranked")
-    plan = _plan(ranked, work_table(rests, "mix-rests"), cap)
-    df = _placed(rows, equals, fates, seed).join(few(plan.join(sources, "key")), "key")
+    plan = _plan(ranked, rests, cap, n)
+    df = _placed(rows, equals, fates, seed).join(few(plan.join(sources, "key"), n), "key")
     changed = (F.col("swap.place") == F.col("place")) & (F.col("swap.tie") == F.col("tie"))
     drawn = _drawn() != F.coalesce(changed & (F.col("size") > 0), F.lit(False))
     taken = (F.col("whole") + drawn.cast("int")) * F.col("size")

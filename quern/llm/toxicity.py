@@ -23,7 +23,7 @@ count; each stands for as many of its class as were there for one drawn.
 
 Only the text is an input of a score. Training labels are taken from rows that are
 not held out; a document of several labels counts once for each. Null texts are
-empty texts. Null ids are never labelled. Without labels of both classes each
+empty texts. A very long text is read whole, by one task. Null ids are never labelled. Without labels of both classes each
 score is 0. Repeated rows get equal results. Extra columns stay; those named like
 an output are replaced. An empty table gives an empty result.
 """
