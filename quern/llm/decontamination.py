@@ -21,7 +21,6 @@ tables give empty results or no hits.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
