@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
@@ -386,6 +387,19 @@ def _(t):
     return windowed_counts(t["events"], "ts", "event_type")
 
 
+def table_name(what: str) -> str:
+    """A name that no other run has: queries drop the tables they make."""
+    return f"q_{what}_{uuid.uuid4().hex[:12]}"
+
+
+def outcome(call: Callable[[], object]) -> str:
+    """What a call gives, or the error it raises, as text."""
+    try:
+        return str(call())
+    except Exception as e:  # noqa: BLE001 - the outcome is what the query shows
+        return f"{type(e).__name__}: {e}"
+
+
 def declared(name: str, columns: str, expected: list[tuple]):
     """Registers a function that gives rows about declarations, not of tables; the SQL states those that are right."""
     fields = [c.split() for c in columns.split(", ")]

@@ -13,9 +13,8 @@ from quern.governance import evolution, migration, review, runs, validation
 from quern.operators import loads
 from quern.plans import generation as g
 from quern.plans import nodes as n
-from quern.plans.catalog import declared
-from quern.plans.catalog_ingest import _outcome
-from quern.plans.catalog_loads import NEW, OLD, ORDERS, PEPPER, table_name
+from quern.plans.catalog import declared, outcome, table_name
+from quern.plans.catalog_loads import NEW, OLD, ORDERS, PEPPER
 from quern.spec import Column, Dataset, Reference
 from quern.types import LogicalType, drift
 
@@ -60,7 +59,7 @@ def _(t):
     for text in ("bigint", "decimal(12,2)", "float", "array<int>", "timestamp_ntz", "binary"):
         kind = LogicalType.of(T.StructType.fromDDL(f"c {text}")["c"].dataType)
         out.append((text, kind.name, kind.spark().simpleString()))
-    return [*out, ("interval day", _outcome(lambda: LogicalType.of(T.DayTimeIntervalType(0, 0))).split(":")[0], None)]
+    return [*out, ("interval day", outcome(lambda: LogicalType.of(T.DayTimeIntervalType(0, 0))).split(":")[0], None)]
 
 
 @declared(
@@ -74,7 +73,7 @@ def _(t):
 def _(t):
     df = t.spark.createDataFrame([("7", None)], "k string, none string")
     texts = ("CONCAT('a, (', COL(\"k\"), \")\")", "concat_ws('-', {expr:k}, {expr:none}, 'z')", "COALESCE({expr:none}, 'token')", "HASH256('a'", "UPPER('a')", "COALESCE('a')")
-    return [(x, _outcome(lambda x=x: df.select(keys.parse(x)).first()[0])) for x in texts]
+    return [(x, outcome(lambda x=x: df.select(keys.parse(x)).first()[0])) for x in texts]
 
 
 @declared(
@@ -87,9 +86,9 @@ def _(t):
 )
 def _(t):
     names, ctx = {"a": "s.x", "b": "upper(s.y)"}, loads.RunContext("r1", datetime(2024, 1, 1))
-    out = [(x, _outcome(lambda x=x: g.filled(x, "s", names))) for x in ("{alias}.a + 1", "{expr:a} || {expr:b}", "{expr:c}")]
+    out = [(x, outcome(lambda x=x: g.filled(x, "s", names))) for x in ("{alias}.a + 1", "{expr:a} || {expr:b}", "{expr:c}")]
     out.append(("{{ a + 1 }}", g.unwrapped("{{ a + 1 }}").strip()))
-    return out + [(x, _outcome(lambda x=x: ctx.fill(x))) for x in ("{{load_run_id}} {load_timestamp}", "ts > {{DELTA_CUTOFF}}")]
+    return out + [(x, outcome(lambda x=x: ctx.fill(x))) for x in ("{{load_run_id}} {load_timestamp}", "ts > {{DELTA_CUTOFF}}")]
 
 
 @declared(
@@ -116,7 +115,7 @@ def _(t):
 def _(t):
     window = n.WindowNode(ORDER_SCAN, {"place": n.WindowColumn("RANK", (), ("o_custkey",), (n.Sort("o_orderkey"),)), "off": n.WindowColumn("COUNT", active=False)})
     trees = {"scan": ORDER_SCAN, "aggregate": TREE, "window": window, "clash": n.Select(ORDER_SCAN, {"a": "o_orderkey", "A": "o_custkey"})}
-    return [(name, _outcome(lambda x=x: ", ".join(n.contract(x, COLUMNS)))) for name, x in trees.items()]
+    return [(name, outcome(lambda x=x: ", ".join(n.contract(x, COLUMNS)))) for name, x in trees.items()]
 
 
 @declared("contract_changes", "change string, name string", [("added", "c"), ("removed", "a"), ("unchanged", "b")])
@@ -182,7 +181,7 @@ def _(t):
         "window without order": n.WindowNode(ORDER_SCAN, {"r": n.WindowColumn("RANK")}), "window of a column that exists": n.WindowNode(ORDER_SCAN, {"O_CUSTKEY": n.WindowColumn("COUNT")}),
         "buckets of a full join": n.Join(ORDER_SCAN, (n.JoinEdge(n.Scan("customer"), (between,), "full", bucket=1.0),), {"k": "i1.o_orderkey"}),
     }
-    return [(name, _outcome(lambda x=x: n.build(x, t))) for name, x in trees.items()]
+    return [(name, outcome(lambda x=x: n.build(x, t))) for name, x in trees.items()]
 
 
 @declared(
@@ -296,7 +295,7 @@ def _(t):
     say = lambda d: ", ".join(c.name for c in d.columns)
     return [
         ("not all keys mapped", say(g.with_reference(child, partial, parent)), None), ("mapped", say(one), None), ("prefix changed", say(two), ", ".join(two.columns[-1].former_names)),
-        ("unknown column", _outcome(lambda: g.with_reference(child, replace(whole, mapping={"k": "a", "l": "z"}), parent)), None),
+        ("unknown column", outcome(lambda: g.with_reference(child, replace(whole, mapping={"k": "a", "l": "z"}), parent)), None),
     ]
 
 
@@ -343,8 +342,8 @@ def _(t):
     df = t.spark.createDataFrame([], "p_partkey bigint, p_name string, p_size int, p_brand string")
     drop = evolution.Change("drop", "rc_x", "v")
     return [
-        ("blocked", _outcome(lambda: migration.execute(t.spark, migration.plan(OLD, NEW), OLD, NEW))),
-        ("lossy", _outcome(lambda: evolution.migrate(df, OLD[0], NEW[0]))),
+        ("blocked", outcome(lambda: migration.execute(t.spark, migration.plan(OLD, NEW), OLD, NEW))),
+        ("lossy", outcome(lambda: evolution.migrate(df, OLD[0], NEW[0]))),
         ("scoped to another", str(migration.plan(OLD, NEW, {"rc_other"}))),
         ("drop allowed", evolution.decide(drop, allow_drop=True)),
         ("drop of a history", evolution.decide(replace(drop, dataset="rc_x_hist"), allow_drop=True)),
@@ -380,8 +379,8 @@ def _(t):
     say = lambda ds: "; ".join(f"{x.name} <- {', '.join(x.inputs)}{former(x)}" for x in ds)
     new = evolution.renamed_dataset(every, "rc_c", "rc_new")
     return [
-        ("column", ", ".join(f"{c.name}{former(c)}" for c in evolution.renamed(d, "b", "a").columns)), ("column taken", _outcome(lambda: evolution.renamed(d, "b", "c"))),
-        ("dataset", say(new)), ("dataset taken", _outcome(lambda: evolution.renamed_dataset(every, "rc_c", "sv"))), ("back again", evolution.renamed_dataset(new, "rc_new", "rc_c")[0].name),
+        ("column", ", ".join(f"{c.name}{former(c)}" for c in evolution.renamed(d, "b", "a").columns)), ("column taken", outcome(lambda: evolution.renamed(d, "b", "c"))),
+        ("dataset", say(new)), ("dataset taken", outcome(lambda: evolution.renamed_dataset(every, "rc_c", "sv"))), ("back again", evolution.renamed_dataset(new, "rc_new", "rc_c")[0].name),
     ]
 
 
@@ -400,10 +399,10 @@ def _(t):
     at = [datetime(2024, 1, i) for i in (1, 2, 3)]
     one, two, no = review.approval(asked, "one", True, at[0]), review.approval(asked, "two", True, at[1]), review.approval(asked, "two", False, at[0])
     return [
-        ("decisions", str(strict["counts"])), ("promotion", blocked["status"]), ("approval of a blocked one", _outcome(lambda: review.approval(blocked, "one", True, at[0]))), ("with drops allowed", asked["status"]),
+        ("decisions", str(strict["counts"])), ("promotion", blocked["status"]), ("approval of a blocked one", outcome(lambda: review.approval(blocked, "one", True, at[0]))), ("with drops allowed", asked["status"]),
         ("no word yet", review.review_status(asked, [])), ("one of two", review.review_status(asked, [one], 2)), ("both", review.review_status(asked, [one, two], 2)), ("one against", review.review_status(asked, [one, no])),
         ("changed mind", review.review_status(asked, [one, no, two])), ("of another promotion", review.review_status(blocked, [one])), ("no change", review.promotion(review.report(OLD, OLD), "dev", "prod")["status"]),
-        ("one environment", _outcome(lambda: review.promotion(strict, "dev", "dev"))),
+        ("one environment", outcome(lambda: review.promotion(strict, "dev", "dev"))),
     ]
 
 
@@ -438,7 +437,7 @@ def _(t):
     [(1, "raw_a, raw_b"), (2, "stg_a, stg_b"), (3, "rc_a"), (4, "bc, rc_a_hist"), (0, "ValueError: a cycle among ['a', 'b']")],
 )
 def _(t):
-    cycle = _outcome(lambda: runs.levels({"a": ("b",), "b": ("a",)}))
+    cycle = outcome(lambda: runs.levels({"a": ("b",), "b": ("a",)}))
     return [*[(i, ", ".join(w)) for i, w in enumerate(runs.levels(GRAPH), 1)], (0, cycle)]
 
 
@@ -472,7 +471,7 @@ def _(t):
     m = runs.manifest(GRAPH)
     return [
         ("dependencies of bc", ", ".join(m["dependencies"]["bc"])), ("nodes", ", ".join(m["nodes"])), ("wave 3", ", ".join(m["waves"][2])),
-        ("fresh", _outcome(lambda: runs.check_fresh(m["fingerprint"], m["waves"]))), ("stale", _outcome(lambda: runs.check_fresh(m["fingerprint"], m["waves"][:-1]))),
+        ("fresh", outcome(lambda: runs.check_fresh(m["fingerprint"], m["waves"]))), ("stale", outcome(lambda: runs.check_fresh(m["fingerprint"], m["waves"][:-1]))),
     ]
 
 

@@ -7,14 +7,14 @@ import zipfile
 from datetime import datetime
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.governance import runs
 from quern.operators.loads import RunContext
 from quern.plans import generation
-from quern.plans.catalog import declared, query
+from quern.plans.catalog import declared, outcome, query, table_name
 from quern.sources import landing, readers
 from quern.sources.readers import BatchRules, IncrementPolicy, Source
 from quern.sources.scratch import scratch_path
@@ -177,11 +177,7 @@ def _nations(t) -> list[dict]:
 
 @query("rest_pages", "SELECT CAST(n_nationkey // 4 AS INTEGER) AS page, n_nationkey, n_name FROM nation")
 def _(t):
-    readers_sleep, readers.time.sleep = readers.time.sleep, lambda _: None
-    try:
-        rows = readers.pages(t.spark, Service(_nations(t), 4).by_token, "data.items", rows_each=7)
-    finally:
-        readers.time.sleep = readers_sleep
+    rows = readers.pages(t.spark, Service(_nations(t), 4).by_token, "data.items", rows_each=7, sleep=lambda _: None)
     parsed = F.from_json("payload", "n_nationkey int, n_name string")
     return rows.select("page", parsed.alias("x")).select("page", "x.n_nationkey", "x.n_name")
 
@@ -189,8 +185,7 @@ def _(t):
 @query("rest_cursor_kept", "SELECT CASE WHEN n_nationkey < 12 THEN 1 ELSE 2 END AS run, n_nationkey FROM nation")
 def _(t):
     """The second run begins where the first one, which saw half of the rows, ended."""
-    name = f"q_batches_{abs(hash(t.sf_dir)) % 10**6}_{datetime.now().timestamp():.6f}".replace(".", "_")
-    rows, out = _nations(t), None
+    name, rows, out = table_name("batches"), _nations(t), None
     try:
         for run, seen in ((1, rows[:12]), (2, rows)):
             last = runs.last_snapshot(t.spark, name, "nations")
@@ -203,13 +198,6 @@ def _(t):
     return out
 
 
-def _outcome(call) -> str:
-    try:
-        return str(call())
-    except Exception as e:  # noqa: BLE001 - the outcome is what the query shows
-        return f"{type(e).__name__}: {e}"
-
-
 @declared(
     "rest_failures",
     "what string, outcome string",
@@ -235,10 +223,10 @@ def _(t):
 
     readers.pages(t.spark, empty, "items")
     return [
-        ("endless service", _outcome(lambda: readers.pages(t.spark, lambda at: (200, {"items": [{"a": 1}], "next": "more"}), "items", most=3))),
-        ("third attempt", _outcome(third)),
-        ("never well", _outcome(lambda: readers.fetched(lambda: (500, {}), sleep=lambda _: None))),
-        ("not found", _outcome(lambda: readers.fetched(lambda: (404, {}), sleep=lambda _: None))),
+        ("endless service", outcome(lambda: readers.pages(t.spark, lambda at: (200, {"items": [{"a": 1}], "next": "more"}), "items", most=3))),
+        ("third attempt", outcome(third)),
+        ("never well", outcome(lambda: readers.fetched(lambda: (500, {}), sleep=lambda _: None))),
+        ("not found", outcome(lambda: readers.fetched(lambda: (404, {}), sleep=lambda _: None))),
         ("empty pages", f"{len(asked)} pages asked"),
     ]
 
@@ -272,7 +260,7 @@ def _(t):
         "keys": (BatchRules(("a", "b")), None), "strict keys": (BatchRules(("b",), strict=True), None), "drift": (BatchRules(signatures=1), None),
         "empty pages": (BatchRules(), 7), "too few": (BatchRules(least=4), None), "too many": (BatchRules(most=2), None), "fine": (BatchRules(("a",), 1, 3), 3),
     }
-    return [(name, _outcome(lambda r=r, n=n: readers.check_pages(df, r, n))) for name, (r, n) in cases.items()]
+    return [(name, outcome(lambda r=r, n=n: readers.check_pages(df, r, n))) for name, (r, n) in cases.items()]
 
 
 # --- imports ---
@@ -322,7 +310,7 @@ def _(t):
 )
 def _(t):
     cases = [(True, None, True, "native"), (True, None, True, "external"), (True, None, False, "native"), (True, True, False, "native"), (True, False, True, "native"), (False, True, True, "native"), (True, True, True, "none")]
-    return [(*c, _outcome(lambda c=c: readers.ingest_mode(*c))) for c in cases]
+    return [(*c, outcome(lambda c=c: readers.ingest_mode(*c))) for c in cases]
 
 
 @declared(
@@ -335,7 +323,7 @@ def _(t):
     return [
         *[(e, str(readers.cutoff_of(_FILTERED, _POLICIES, e, NOW))) for e in ("dev", "prod", "test")],
         ("dev, no increment", str(readers.cutoff_of(plain, _POLICIES, "dev", NOW))),
-        ("filter", _outcome(lambda: CTX.fill(_FILTERED.increment, None))),
+        ("filter", outcome(lambda: CTX.fill(_FILTERED.increment, None))),
         ("leap", str(readers.cutoff(datetime(2024, 2, 29), 1, "year"))),
     ]
 
@@ -356,11 +344,11 @@ def _(t):
     put(t.spark, path, b'{"a": 1}')
     read = lambda *a: (lambda: readers.read(t.spark, Source(*a)))
     return [
-        ("avro", _outcome(read("avro", "x"))),
-        ("json object", _outcome(read("json", path)).replace(f" {path}", "")),
-        ("jdbc without bounds", _outcome(read("jdbc", "t", {"url": "x"}))),
-        ("two names for a sheet", _outcome(read("excel", "x", {"sheet_name": "a", "sheet_index": 0}))),
-        ("names that clash", _outcome(lambda: readers.with_normal_names(t.spark.createDataFrame([(1, 2)], "`a b` int, `A_B` int")))),
+        ("avro", outcome(read("avro", "x"))),
+        ("json object", outcome(read("json", path)).replace(f" {path}", "")),
+        ("jdbc without bounds", outcome(read("jdbc", "t", {"url": "x"}))),
+        ("two names for a sheet", outcome(read("excel", "x", {"sheet_name": "a", "sheet_index": 0}))),
+        ("names that clash", outcome(lambda: readers.with_normal_names(t.spark.createDataFrame([(1, 2)], "`a b` int, `A_B` int")))),
     ]
 
 

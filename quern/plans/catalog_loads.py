@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from quern.governance import evolution, migration, runs
 from quern.operators import loads
 from quern.plans import generation as g
-from quern.plans.catalog import _SCD2_SQL, _shown, _snapshot, declared, plan, query
-from quern.plans.catalog_ingest import _outcome
+from quern.plans.catalog import _SCD2_SQL, _shown, _snapshot, declared, outcome, plan, query, table_name
 from quern.plans.nodes import Aggregate, Join, JoinEdge, Measure, Predicate, Scan, Select, Sort, build
 from quern.sources.scratch import scratch_path
 from quern.spec import Column, Dataset, Reference
@@ -23,10 +22,6 @@ T1, T2 = datetime(2024, 1, 1), datetime(2024, 2, 1)
 R1, R2 = loads.RunContext("r1", T1), loads.RunContext("r2", T2)
 
 
-def table_name(what: str) -> str:
-    return f"q_{what}_{uuid.uuid4().hex[:12]}"
-
-
 def kept(t, name: str) -> DataFrame:
     """The rows of a table that goes: they are copied to the scratch folder first."""
     path = scratch_path(t.spark, name)
@@ -134,7 +129,7 @@ def _(t):
         ("serving", Dataset("a", "serving", mode="merge")), ("rawcore", replace(CORE, mode="append")), ("rawcore", replace(CORE, mode="snapshot")),
         ("rawcore history", replace(CORE, name="rc_customer_hist")), ("rawcore, external", replace(CORE, mode="merge", materialization="external")),
     ]
-    return [(name, d.mode, _outcome(lambda d=d: loads.plan_load(d))) for name, d in cases]
+    return [(name, d.mode, outcome(lambda d=d: loads.plan_load(d))) for name, d in cases]
 
 
 @declared(
@@ -148,10 +143,10 @@ def _(t):
 def _(t):
     df = t.spark.createDataFrame([("1", "a"), ("1", "b")], "k string, row_hash string")
     return [
-        ("merge, repeated keys", _outcome(lambda: loads.merge(df, df, ["k"]))),
-        ("merge without keys", _outcome(lambda: loads.merge(df, df, []))),
-        ("history, repeated keys", _outcome(lambda: loads.scd2(None, df, "k", R1))),
-        ("ranked stage without keys", _outcome(lambda: loads.ranked_stage([(df, 1)], []))),
+        ("merge, repeated keys", outcome(lambda: loads.merge(df, df, ["k"]))),
+        ("merge without keys", outcome(lambda: loads.merge(df, df, []))),
+        ("history, repeated keys", outcome(lambda: loads.scd2(None, df, "k", R1))),
+        ("ranked stage without keys", outcome(lambda: loads.ranked_stage([(df, 1)], []))),
     ]
 
 

@@ -242,7 +242,7 @@ class TooManyPages(RuntimeError):
 
 def pages(
     spark: SparkSession, fetch: Callable[[object], tuple[int, dict]], record_path: str | None, cursor: str = "page_token", next_key: str = "next", size: int = 100, most: int = 10_000,
-    start: object = None, most_empty: int = 3, save: Callable[[object], None] | None = None, rows_each: int = 10_000,
+    start: object = None, most_empty: int = 3, save: Callable[[object], None] | None = None, rows_each: int = 10_000, sleep=time.sleep,
 ) -> DataFrame:
     """Pages of a service as text rows (page, payload), by token or by offset, from start on.
 
@@ -257,7 +257,7 @@ def pages(
     while True:
         if n == most:
             raise TooManyPages(f"more than {most} pages")
-        body = fetched(lambda a=at: fetch(a))
+        body = fetched(lambda a=at: fetch(a), sleep=sleep)
         found = records(body, record_path)
         rows += [(n, json.dumps(x, sort_keys=True)) for x in found]
         n, empty = n + 1, 0 if found else empty + 1
