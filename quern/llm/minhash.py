@@ -32,6 +32,7 @@ those named like an output are replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ THRESHOLD = 0.8
 STARS = 2
 #: Nodes of a block of the last round.
 GROUP = 512
+#: Bytes of an Arrow batch.
+BATCH = "8m"
 #: Cells of shingle hashes that are counted to tell rare shingles from common ones, 8 bytes each.
 CELLS = 1 << 20
 #: Ids up to which the list of documents to verify is broadcast: about 40 bytes each.
@@ -457,8 +460,23 @@ def _rest(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, linker: Linke
     return (near if rare is None else near.union(rare)).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id, kept) for each row of docs; row is the text's hash."""
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of so many bytes at most in what runs meanwhile: sets are large rows, of which a worker holds a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold: float, side: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The signs of all rows, and of each distinct set (set_id, component). All Python work is done when it returns."""
     signs = work_table(signed(docs, shingle, side, width), "signs")
     first = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"), "doc_id", "row")
     nodes = signs.where("n_shingles > 0").groupBy("set_id").agg(
@@ -480,7 +498,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESH
         labels = components(linker.links())
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("set_id", "label", "order")
     smallest = named.groupBy("label").agg(F.min("order").alias("component"))
-    named = named.join(smallest, "label").select("set_id", "component")
+    return signs, named.join(smallest, "label").select("set_id", "component")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, side: int = SIDE, width: int = WIDTH) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept) for each row of docs; row is the text's hash."""
+    with batches_of(docs.sparkSession, BATCH):
+        signs, named = _grouped(docs, shingle, threshold, side, width)
     out = signs.select("doc_id", "row", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).when(F.col("component") < LAST, F.col("component"))
     out = out.withColumn("component_id", component)
