@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import share_below, work_table
-from quern.llm.words import trimmed
+from quern.llm.words import small_batches, trimmed
 
 K, EVERY = 20, 20
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 8192
@@ -353,6 +353,7 @@ def search(
     """
     rows = usable(vectors)
     spark = rows.sparkSession
+    small_batches(spark)
     total, longest, distinct, width = rows.agg(
         F.count(F.lit(1)),
         F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from quern.llm.common import documents, held_out, replacing
-from quern.llm.words import merged, trimmed, with_columns
+from quern.llm.words import merged, small_batches, trimmed, with_columns
 
 CLASSES, GRAMS = 64, 1 << 18
 DIMENSIONS = 2048
@@ -114,6 +114,7 @@ def predict(code: np.ndarray, languages: list[str], products: np.ndarray) -> tup
 
 def learn(docs: DataFrame, **options) -> list[tuple[list[str], np.ndarray]]:
     """The profiles of all languages, in blocks of BLOCK, in the languages' order."""
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     sums = rows.mapInArrow(trimmed(_counted), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {k: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in sums.sort_values(["lang", "gram"]).groupby("lang")}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from quern.llm.common import documents, text_of
-from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, rolled, slices, texts_of, trimmed, with_columns
+from quern.llm.words import HashCache, hashed_words, lowest, mixed, ranges, rolled, slices, small_batches, texts_of, trimmed, with_columns
 
 LENGTH = 20
 ANCHOR = 6
@@ -205,6 +205,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     keyed = {"_q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_q_hash": F.xxhash64(text_of(docs))}
     # the text is shuffled once, so a text of another type is read as a string
     df = docs.withColumns(keyed if docs.schema["text"].dataType == StringType() else keyed | {"text": F.col("text").cast("string")})
+    small_batches(df.sparkSession)
     plain = df.select("text", F.col("_q_id").alias("id"), F.col("_q_hash").alias("row"))
     seeds = plain.mapInArrow(trimmed(_seeds(length, anchor)), ROWS).repartition("anchor")
     repeats = seeds.mapInArrow(trimmed(_extended), "id long, row long, runs binary")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from quern.llm.common import documents, held_out, replacing
-from quern.llm.words import merged, slices, trimmed, with_columns
+from quern.llm.words import merged, slices, small_batches, trimmed, with_columns
 
 BITS, ORDER, DISCOUNT = 5, 4, 0.75
 LETTERS = 1 << BITS
@@ -59,7 +59,7 @@ FEATURES = 2 * (len(PASSAGES) + 1) + 1
 MOST_BROADCAST = 2_000_000
 #: Words whose counts or differences a task keeps, about.
 MOST_CACHED = 100_000
-MOST_KNOWN = 400_000
+MOST_KNOWN = 250_000
 #: Bytes of text that a task takes at once, and for which it reads the parts of the counts once.
 SLICE, GROUP = 2 << 20, 32 << 20
 
@@ -365,6 +365,7 @@ class Curve:
 
 def train(docs: DataFrame, labels: DataFrame, max_curve: int = 6000) -> tuple[Model, list, Curve]:
     spark = docs.sparkSession
+    small_batches(spark)
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     few = marked.count() <= MOST_BROADCAST
     plain = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
 #: Odd multipliers for rolling and mixing; any odd numbers of high entropy do.
@@ -20,6 +20,15 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 MOST_CACHED = 200_000
 
 
+#: Bytes of an Arrow batch.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: rows hold whole texts or sets, and a task keeps a batch in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 class HashCache(dict):
     """Word to its 64-bit hash."""
 
@@ -165,6 +174,7 @@ def with_columns(
     new columns. Columns of df named like a new one, or in drop, go. regroup joins or
     parts batches before that.
     """
+    small_batches(df.sparkSession)
     gone = {x.lower() for x in (*fields, *drop)}
     kept = [f.name for f in df.schema.fields if f.name.lower() not in gone]
     schema = StructType([df.schema[k] for k in kept] + [StructField(k, t) for k, t in fields.items()])
