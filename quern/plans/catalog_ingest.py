@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import shutil
 import zipfile
 from datetime import datetime
+from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,15 +80,53 @@ def _(t):
 
 
 def database(spark: SparkSession) -> str:
-    """A database in memory, of the driver that comes with Spark."""
+    """A database in memory, of the driver that comes with Spark; each JVM has its own, so executors do not see this one."""
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     return "jdbc:derby:memory:quern;create=true"
 
 
+def shared_database(df: DataFrame, table: str) -> str:
+    """A database with a table of these rows, which the driver and all executors can read.
+
+    One JVM alone can write to a Derby database: executors write the rows as text, the driver imports them file
+    by file. Packed as a JAR, uncompressed for reads at any place, it is read-only and opens in every JVM.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "database")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getUri().getScheme() != "file":
+        raise ValueError(f"{path}: the database needs a mounted folder")
+    database(spark)
+    folder = Path(at.toUri().getPath())
+    url, manager = f"jdbc:derby:{folder}/quern", spark._jvm.java.sql.DriverManager
+    # quoted, "" is an empty text; without quotes, it is null
+    fields = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws(",", *fields).alias("value")).write.text(f"{path}/rows")
+    df.limit(0).write.format("jdbc").options(url=f"{url};create=true", dbtable=table).save()  # no rows, no task: the driver alone connects
+    con = manager.getConnection(url)
+    try:
+        load = con.prepareCall("call syscs_util.syscs_import_table(null, ?, ?, ',', '\"', 'UTF-8', 0)")
+        for part in sorted((folder / "rows").glob("part-*")):
+            load.setString(1, table.upper())
+            load.setString(2, str(part))
+            load.execute()
+    finally:
+        con.close()
+        try:
+            manager.getConnection(f"{url};shutdown=true")
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # that it is shut down
+                raise
+    with zipfile.ZipFile(folder / "quern.jar", "w") as z:
+        for x in (folder / "quern").rglob("*"):
+            z.write(x, x.relative_to(folder))
+    for x in ("rows", "quern"):
+        shutil.rmtree(folder / x)
+    return f"jdbc:derby:jar:({folder}/quern.jar)quern"
+
+
 @query("read_jdbc_parts", "SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_nationkey < 20")
 def _(t):
-    url = database(t.spark)
-    t["supplier"].select("s_suppkey", "s_name", "s_nationkey").write.format("jdbc").options(url=url, dbtable="supplier").mode("overwrite").save()
+    url = shared_database(t["supplier"].select("s_suppkey", "s_name", "s_nationkey"), "supplier")
     bounds = {"partitionColumn": "s_suppkey", "lowerBound": "1", "upperBound": "1000", "numPartitions": "4"}
     return readers.read(t.spark, Source("jdbc", "supplier", {"url": url, **bounds}, where="s_nationkey < 20"))
 
